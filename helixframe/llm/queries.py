@@ -94,7 +94,68 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+#: Fixed words that divide the toxic label into the chain's first two categories.
+CATEGORY_WORDS = {
+    "insult": ("idiot", "moron", "loser", "clown", "stupid"),
+    "contempt": ("disgusting", "pathetic", "scum", "trash", "worthless"),
+}
+
+
+def _toxicity_chain(spark: SparkSession, sf_dir: str):
+    from helixframe.llm.toxicity import category_labels, fit
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return fit(docs, category_labels(docs, labels, CATEGORY_WORDS), [*CATEGORY_WORDS, "toxic"])
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.toxicity import score
+
+    return score(_table(spark, sf_dir, "documents"), _toxicity_chain(spark, sf_dir))
+
+
+def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` without what the chain, fitted on the labelled documents of ``sf_dir``, rejects."""
+    from helixframe.llm.toxicity import keep_clean
+
+    return keep_clean(docs, _toxicity_chain(spark, sf_dir))
+
+
+#: Mixing in production: half way from the entropy as found to the uniform one, and no source over four times.
+MIXTURE = {"entropy_share": 0.5, "max_epochs": 4.0}
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.mixing import mix
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs, **MIXTURE).select("doc_id", "source", F.col("__epoch").alias("epoch"), F.col("__block_key").alias("block_key"), F.col("__key").alias("place_key"))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    from helixframe.llm.mixing import mix
+
+    return mix(docs, **MIXTURE).select(*docs.columns)
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.ngram_join import join
+
+    return join(_table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.quality import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mixing": op3_mixing,
+    "op4_toxicity": op4_toxicity,
+    "op5_ngram_join": op5_ngram_join,
+    "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_topk": op9_topk,
