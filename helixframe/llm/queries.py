@@ -22,6 +22,18 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.pii import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixframe.llm.exact_dedup import deduplicate
 
@@ -152,6 +164,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_ngram_join": op5_ngram_join,
