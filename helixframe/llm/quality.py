@@ -124,7 +124,9 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, seed: int = SEED) -> float:
     ratios = []
     for q in np.linspace(0.05, 0.7, 40):
         t = np.quantile(sp, q)
-        ratios.append((su >= t).mean() / max((sp >= t).mean(), 1e-9))
+        a, b = (su >= t).mean(), max((sp >= t).mean(), 1e-9)
+        error = np.hypot(np.sqrt(a * (1 - a) / len(su)) / b, a / b**2 * np.sqrt(b * (1 - b) / len(sp)))
+        ratios.append(a / b + error)  # the least of noisy ratios would be too low
     return float(np.clip(min(ratios), 0.05, 0.98))
 
 
