@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +23,8 @@ from helixframe.llm.common import written
 
 #: Vectors in a candidate block and in a query block; a task holds one of each.
 CANDIDATES, QUERIES = 8192, 1024
-#: Leading rotated coordinates of the first partial sum, as a share of all.
-LEAD = 0.375
+#: Shares of the rotated coordinates after which partial sums are held against the floors, and candidates at a time.
+STAGES, CHUNK = (0.375, 0.75), 2048
 #: Rotated sums are floats; bounds are widened by this share of the two lengths.
 SLACK = 1e-9
 
@@ -70,9 +69,10 @@ def _block(pdf: pd.DataFrame) -> pd.DataFrame:
 BLOCK = "block long, longest double, ids binary, vectors binary"
 
 
-def blocks(vectors: DataFrame, size: int, total: int) -> DataFrame:
-    """Rows of packed vectors, numbered by descending length: ranges of the norm, and within each range parts of at most about ``size``."""
+def blocks(vectors: DataFrame, size: int, total: int) -> tuple[DataFrame, int]:
+    """Rows of packed vectors and one more than the largest block number; numbered by descending length: ranges of the norm, and within each range parts of at most about ``size``."""
     parts = max(1, -(-total // size))
+    numbers = 1
     if parts == 1:
         ranged = vectors.withColumn("block", F.lit(0).cast("long"))
     else:
@@ -84,40 +84,55 @@ def blocks(vectors: DataFrame, size: int, total: int) -> DataFrame:
         counts = {r[0]: r[1] for r in vectors.groupBy(level.alias("l")).count().collect()}
         splits = F.create_map(*[x for l, n in counts.items() for x in (F.lit(l), F.lit(max(1, -(-n // size))))])
         widest = max(max(1, -(-n // size)) for n in counts.values())
+        numbers = (max(counts) + 1) * widest
         ranged = vectors.withColumn("l", level).withColumn("block", (F.col("l") * widest + F.pmod(F.xxhash64("vec_id"), splits[F.col("l")])).cast("long")).drop("l")
-    return ranged.groupBy("block").applyInPandas(_block, BLOCK)
+    return ranged.groupBy("block").applyInPandas(_block, BLOCK), numbers
 
 
-def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    order = np.lexsort((ids, -scores))
-    return order[:k]
+def score_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, turn: np.ndarray, k: int, floors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its best ``k`` of the candidates (ids, scores) that can still beat ``floors``; candidates come by descending length.
 
-
-def score_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, turn: np.ndarray, k: int, floors: np.ndarray, lead: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its best ``k`` of the candidates (ids, scores) that can still beat ``floors``; candidates come by descending length."""
-    lengths = np.sqrt((c.astype(np.float64) ** 2).sum(1))
-    q_lengths = np.sqrt((q.astype(np.float64) ** 2).sum(1))
-    rq, rc = q @ turn, c @ turn
-    q_rest, c_rest = (np.sqrt((x[:, lead:] ** 2).sum(1)) for x in (rq, rc))
-    step = max(4 * k, 512)
-    best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in q_ids]
+    Partial sums grow over the rotated coordinates in stages; after each, pairs whose bound is under the floor are dropped,
+    and the last stage's survivors are scored in integers.
+    """
+    width = q.shape[1]
+    cuts = sorted({max(1, round(share * width)) for share in STAGES} | {width})
+    qf, cf = q.astype(np.float64), c.astype(np.float64)
+    exact_in_double = float(np.abs(qf).max(initial=0)) * float(np.abs(cf).max(initial=0)) * width < 2.0**52
+    lengths, q_lengths = np.sqrt((cf**2).sum(1)), np.sqrt((qf**2).sum(1))
+    rq, rc = qf @ turn, cf @ turn
+    q_rest, c_rest = ([np.sqrt((x[:, d:] ** 2).sum(1)) for d in cuts] for x in (rq, rc))
     floors = floors.astype(np.float64).copy()
-    alive = np.arange(len(q_ids))
-    for start in range(0, len(c), step):
-        stop = min(start + step, len(c))
-        alive = alive[q_lengths[alive] * lengths[start] * (1 + SLACK) + SLACK >= floors[alive]]
-        if not len(alive):
-            return
-        slack = SLACK * np.outer(q_lengths[alive], lengths[start:stop]) + SLACK
-        bound = rq[alive, :lead] @ rc[start:stop, :lead].T + np.outer(q_rest[alive], c_rest[start:stop]) + slack
-        keep = bound >= floors[alive][:, None]
-        for row in np.nonzero(keep.any(1))[0]:
-            n = alive[row]
-            at = start + np.nonzero(keep[row])[0]
-            at = at[c_ids[at] != q_ids[n]]
-            exact = (c[at].astype(np.float64) @ q[n].astype(np.float64)).astype(np.int64) if _small(q, c) else c[at] @ q[n]
-            ids, scores = np.concatenate([best[n][0], c_ids[at]]), np.concatenate([best[n][1], exact])
-            order = _top(scores, ids, k)
+    none = np.empty(0, np.int64)
+    best: list[tuple[np.ndarray, np.ndarray]] = [(none, none)] * len(q_ids)
+    for start in range(0, len(c), CHUNK):
+        slack = SLACK * q_lengths * lengths[start] + SLACK
+        rows = np.nonzero(q_lengths * lengths[start] + slack >= floors)[0]
+        cols = np.arange(start, min(start + CHUNK, len(c)))
+        if not len(rows):
+            break
+        total, done = np.zeros((len(rows), len(cols))), 0
+        for stage, d in enumerate(cuts):
+            total += rq[rows, done:d] @ rc[cols, done:d].T
+            done = d
+            keep = total >= (floors - slack)[rows][:, None] - np.outer(q_rest[stage][rows], c_rest[stage][cols])
+            some, these = keep.any(1), keep.any(0)
+            if not some.all() or not these.all():
+                rows, cols, total, keep = rows[some], cols[these], total[np.ix_(some, these)], keep[np.ix_(some, these)]
+            if not len(rows):
+                break
+        if not len(rows):
+            continue
+        keep &= q_ids[rows][:, None] != c_ids[cols][None, :]
+        exact = np.rint(qf[rows] @ cf[cols].T).astype(np.int64) if exact_in_double else q[rows] @ c[cols].T
+        for r in np.nonzero(keep.any(1))[0]:
+            n, at = rows[r], np.nonzero(keep[r])[0]
+            scores, ids = exact[r, at], c_ids[cols[at]]
+            if len(at) > 4 * k:
+                least = np.partition(scores, len(scores) - k)[len(scores) - k]
+                scores, ids = scores[scores >= least], ids[scores >= least]
+            ids, scores = np.concatenate([best[n][0], ids]), np.concatenate([best[n][1], scores])
+            order = np.lexsort((ids, -scores))[:k]
             best[n] = ids[order], scores[order]
             if len(order) == k:
                 floors[n] = max(floors[n], float(scores[order[-1]]))
@@ -126,20 +141,17 @@ def score_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarr
             yield n, ids, scores
 
 
-def _small(q: np.ndarray, c: np.ndarray) -> bool:
-    """Whether inner products are exact in double."""
-    return float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < 2.0**52
+def _vectors(raw: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(raw, np.int64).reshape(-1, width)
 
 
-def _pairs(turn: np.ndarray, k: int, width: int, lead: int):
+def _pairs(turn: np.ndarray, k: int, width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 q_ids, c_ids = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.ids, np.int64)
-                q, c = (np.frombuffer(x, np.int64).reshape(-1, width) for x in (row.q_vectors, row.vectors))
-                floors = np.frombuffer(row.floors, np.float64) if row.floors is not None else np.full(len(q_ids), -np.inf)
                 out: tuple[list, list, list] = ([], [], [])
-                for n, ids, scores in score_block(q_ids, q, c_ids, c, turn, k, floors, lead):
+                for n, ids, scores in score_block(q_ids, _vectors(row.q_vectors, width), c_ids, _vectors(row.vectors, width), turn, k, np.frombuffer(row.floors, np.float64)):
                     out[0].append(np.full(len(ids), q_ids[n]))
                     out[1].append(ids)
                     out[2].append(scores)
@@ -149,21 +161,23 @@ def _pairs(turn: np.ndarray, k: int, width: int, lead: int):
     return run
 
 
-def _first(turn: np.ndarray, k: int, width: int, lead: int):
-    """The k-th score of each query within the block of the longest vectors, as a floor for all other blocks."""
+def _first(head, turn: np.ndarray, k: int, width: int):
+    """Floors of each query block: the k-th scores within the block of the longest vectors, and the least score over length, under which a shorter block cannot matter."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c_ids, c = np.frombuffer(head.value[0], np.int64), _vectors(head.value[1], width)
         for frame in frames:
-            floors = []
+            floors, reach = [], []
             for row in frame.itertuples(index=False):
-                q_ids, c_ids = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.ids, np.int64)
-                q, c = (np.frombuffer(x, np.int64).reshape(-1, width) for x in (row.q_vectors, row.vectors))
+                q_ids, q = np.frombuffer(row.q_ids, np.int64), _vectors(row.q_vectors, width)
                 found = np.full(len(q_ids), -np.inf)
-                for n, ids, scores in score_block(q_ids, q, c_ids, c, turn, k, found, lead):
+                for n, ids, scores in score_block(q_ids, q, c_ids, c, turn, k, found):
                     if len(ids) >= k:
                         found[n] = scores[k - 1]
                 floors.append(found.tobytes())
-            yield frame[["q_block", "q_ids", "q_vectors", "q_longest"]].assign(floors=floors)
+                lengths = np.sqrt((q.astype(np.float64) ** 2).sum(1))
+                reach.append(float((found / np.maximum(lengths, 1e-300)).min()))
+            yield frame.assign(floors=floors, reach=reach)
 
     return run
 
@@ -188,21 +202,22 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_c
     width, total = int(widths[0]), int(widths[1])
     vectors = wanted.filter(F.size("v") == width).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
     turn = rotation(vectors, width)
-    lead = max(1, min(width - 1, round(LEAD * width))) if width > 1 else 1
-    packed = written(blocks(vectors.select("vec_id", "v", "norm"), candidates, total), "topk-blocks")
+    packed, numbers = blocks(vectors.select("vec_id", "v", "norm"), candidates, total)
+    packed = written(packed, "topk-blocks")
     asked = vectors.filter("is_query").select("vec_id", "v", "norm").dropDuplicates(["vec_id", "v"])
     n_asked = asked.count()
     if not n_asked:
         return spark.createDataFrame([], result)
-    renamed = blocks(asked, queries, n_asked).select(F.col("block").alias("q_block"), F.col("longest").alias("q_longest"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    head_block = packed.agg(F.max_by("block", "longest")).first()[0]
-    # every query block first meets the block of the longest vectors, which sets its floors
-    head = packed.filter(F.col("block") == head_block).select("ids", "vectors")
-    floored = renamed.withColumn("one", F.lit(1)).join(head.withColumn("one", F.lit(1)), "one").drop("one")
-    floored = written(floored.mapInPandas(_first(turn, k, width, lead), "q_block long, q_ids binary, q_vectors binary, q_longest double, floors binary"), "topk-queries")
-    # block numbers of both sides make the pairs; each task then gets one block of each
-    pairs = floored.select("q_block").withColumn("one", F.lit(1)).join(packed.select("block").withColumn("one", F.lit(1)), "one").drop("one")
-    work = pairs.join(floored, "q_block").join(packed, "block").repartition("q_block", "block")
-    found = work.mapInPandas(_pairs(turn, k, width, lead), "query_id long, vec_id long, score long")
+    made, _ = blocks(asked, queries, n_asked)
+    renamed = made.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    # every query block first meets the block of the longest vectors (one block, whatever the table's size), which sets its floors
+    longest = packed.orderBy(F.desc("longest"), "block").select("ids", "vectors").first()
+    head = spark.sparkContext.broadcast((bytes(longest[0]), bytes(longest[1])))
+    floored = written(renamed.mapInPandas(_first(head, turn, k, width), "q_block long, q_ids binary, q_vectors binary, floors binary, reach double"), "topk-queries")
+    # pairs of block numbers that lengths allow; each task then gets one block of each
+    pairs = floored.select("q_block", "reach", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(numbers - 1).cast("long"))).alias("block"))
+    pairs = pairs.join(packed.select("block", "longest"), "block").filter(F.col("longest") * (1 + 1e-6) >= F.col("reach")).select("q_block", "block")
+    work = pairs.join(floored, "q_block").join(packed.select("block", "ids", "vectors"), "block").repartition("q_block", "block")
+    found = work.mapInPandas(_pairs(turn, k, width), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
