@@ -24,54 +24,64 @@ from helixframe.llm.common import text_of, written
 
 CAPACITY = 1024
 END_ID = 2
-#: Word pieces whose ids a worker remembers; the memory is emptied when full.
-MEMO = 300_000
+#: Parts of texts whose ids a worker remembers, the first that it meets.
+MEMO = 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
-def byte_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Encodes texts with the tokenizer file at ``path`` to little-endian unsigned 32-bit ids.
+#: Which visible character stands for each byte of a byte-level tokenizer, in the order of the bytes it leaves as they are.
+VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Fixed value: how such a tokenizer divides a text before merging, where every number is a decimal digit.
+DIVIDE = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+"
+#: Characters of which two pattern libraries may think differently; a text with one of them is encoded whole.
+UNSURE = "[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe\u0800-\u200f\u2028-\u202f\u205f-\u209f\u20c0-\U0010ffff]"
 
-    The tokenizer begins a new token at a space that stands between two other
-    non-space characters, so texts are cut there and each distinct piece is
-    encoded once while it is remembered. It must be a byte-level one without
-    prefix space or normalizer, which is checked.
+
+def byte_encoder(path: str) -> Callable[[str], bytes]:
+    """Encodes a text with the tokenizer file at ``path`` to little-endian unsigned 32-bit ids.
+
+    A byte-level tokenizer without prefix space or normalizer divides a text by a fixed pattern and merges each part on its own:
+    here each distinct part goes through the tokenizer's model once while it is remembered. Other tokenizers, and texts that
+    hold a special token or a character of an unsure class, are encoded whole. A process makes one encoder for a file and keeps it.
     """
     import json
     import re
+    import struct
+    import sys
+    import types
 
     from tokenizers import Tokenizer
 
+    kept = sys.modules.setdefault("helixframe_kept", types.ModuleType("helixframe_kept")).__dict__.setdefault("encoders", {})
+    if path in kept:
+        return kept[path]
     tokenizer = Tokenizer.from_file(path)
     spec = json.loads(tokenizer.to_str())
     before = spec.get("pre_tokenizer") or {}
-    cuts = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and spec.get("normalizer") is None
-    cuts = cuts and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
-    irregular, between = re.compile(r"\s | \s"), re.compile(r"(?<=\S) (?=\S)")
-    memo: dict[str, bytes] = {}
-
-    def pieces_of(text: str) -> list[str]:
-        if not cuts:
-            return [text]
-        parts = between.split(text) if irregular.search(text) else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]] if len(parts) > 1 else parts
-
-    def encode(texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            parts = pieces_of(text)
-            try:
-                out.append(b"".join(map(memo.__getitem__, parts)))
-            except KeyError:
-                if len(memo) > MEMO:
-                    memo.clear()
-                missing = list(set(parts).difference(memo))
-                for p, e in zip(missing, tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                    memo[p] = np.asarray(e.ids, "<u4").tobytes()
-                out.append(b"".join(map(memo.__getitem__, parts)))
-        return out
-
+    divides = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and spec.get("normalizer") is None
+    whole = re.compile("|".join([UNSURE, *[re.escape(t["content"]) for t in spec["added_tokens"]]]))
+    parts, merge = re.compile(DIVIDE).findall, tokenizer.model.tokenize
+    signs = {b: chr(b) for b in VISIBLE}
+    signs |= {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in signs)}
+
+    class Memo(dict):
+        def __missing__(self, part: str) -> bytes:
+            seen = part if part.isascii() else part.encode().decode("latin-1")
+            ids = [t.id for t in merge(seen.translate(signs))]
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self) < MEMO:
+                self[part] = packed
+            return packed
+
+    ids_of = Memo().__getitem__
+
+    def encode(text: str) -> bytes:
+        if not divides or whole.search(text):
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(ids_of, parts(text)))
+
+    kept[path] = encode
     return encode
 
 
@@ -87,7 +97,7 @@ def _tokenize(path: str, capacity: int, end_id: int):
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode([text.as_py()])[0] + end
+                ids = encode(text.as_py()) + end
                 total, at, piece = len(ids) // 4, 0, 0
                 while at < total:
                     size = min(total - at, capacity) if total <= capacity else (total % capacity or capacity) if at == 0 else capacity
