@@ -125,14 +125,14 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple[str, int, int, float, int, str]]:
         """(license, start, end, reduction, changed words, changes) of each confirmed block, in order and without overlap."""
-        starts = sorted({self._start(text, m.start()) for m in CUE.finditer(text)})
+        starts = sorted({self._start(text, m.start()) for m in CUE.finditer(text)})  # sentences, each once
         out: list[tuple[str, int, int, float, int, str]] = []
         done = 0
         for start in starts:
             if start < done:
                 continue
-            if spdx := _SPDX.match(text, start):
-                out.append((spdx[1], start, spdx.end(), 1.0, 0, ""))
+            if spdx := _SPDX.search(text, start, start + 240):
+                out.append((spdx[1], spdx.start(), spdx.end(), 1.0, 0, ""))
                 done = spdx.end()
                 continue
             blocks = [self._block(text, start, n) for n in range(len(self.templates))]
