@@ -220,10 +220,10 @@ def p_distance(df: DataFrame, locus: list[str], sample: str, code: str) -> DataF
 def diversity(df: DataFrame, keys: list[str], site: str, allele: str) -> DataFrame:
     """Nucleotide diversity and Watterson's estimate in each key, from allele counts by site."""
     sites = df.filter(F.col(allele).isNotNull()).groupBy(*keys, site, allele).agg(F.count("*").cast("double").alias("c"))
-    by_site = sites.groupBy(*keys, site).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("ss"), F.count("*").alias("k"))
+    by_site = sites.groupBy(*keys, site).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("ss"), F.count("*").alias("__alleles"))
     pi = F.try_divide(F.col("n") * F.col("n") - F.col("ss"), F.col("n") * (F.col("n") - 1))
     harmonic = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("n").cast("int") - 1, F.lit(1))), F.lit(0.0), lambda a, i: a + 1.0 / i)
-    return by_site.groupBy(*keys).agg(F.count("*").alias("sites"), F.sum((F.col("k") > 1).cast("long")).alias("segregating"), F.coalesce(F.sum(pi), F.lit(0.0)).alias("theta_pi"), F.sum(F.when(F.col("k") > 1, 1.0 / harmonic).otherwise(0.0)).alias("theta_w"))
+    return by_site.groupBy(*keys).agg(F.count("*").alias("sites"), F.sum((F.col("__alleles") > 1).cast("long")).alias("segregating"), F.coalesce(F.sum(pi), F.lit(0.0)).alias("theta_pi"), F.sum(F.when(F.col("__alleles") > 1, 1.0 / harmonic).otherwise(0.0)).alias("theta_w"))
 
 
 def posterior(df: DataFrame, priors: DataFrame, keys: list[str], hypothesis: str, likelihood: str, prior: str = "prior") -> DataFrame:
