@@ -147,7 +147,7 @@ def markdown(s) -> Column:
     out = F.regexp_replace(out, r"""(?is)<a\b[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>""", "[$2]($1)")
     out = F.regexp_replace(out, r"(?is)<li\b[^>]*>(.*?)</li>", "- $1\n")
     out = F.regexp_replace(out, r"(?i)<br\s*/?>|</p>", "\n")
-    return F.trim(F.regexp_replace(out, r"(?s)<[^>]*>", ""))
+    return F.regexp_replace(F.regexp_replace(out, r"(?s)<[^>]*>", ""), r"^\s+|\s+$", "")
 
 
 def spatial_name(name) -> Column:

@@ -116,9 +116,9 @@ def coverage_ge2(spark, d):
 @register("interval_complement", f"""
 WITH x AS ({SPAN}), y AS (SELECT c, e AS a, lead(s) OVER (PARTITION BY c ORDER BY s) AS b FROM (SELECT c, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY s, e, o) AS g
   FROM (SELECT *, max(e) OVER (PARTITION BY c ORDER BY s, e, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x)) GROUP BY c, g))
-SELECT c, a AS s, coalesce(b, 11500) AS e FROM y WHERE coalesce(b, 11500) - a >= 3 UNION ALL SELECT c, 7000, min(s) FROM x GROUP BY c HAVING min(s) - 7000 >= 3""")
+SELECT c, a AS s, coalesce(b, 20000) AS e FROM y WHERE coalesce(b, 20000) - a >= 3 UNION ALL SELECT c, 7000, min(s) FROM x GROUP BY c HAVING min(s) - 7000 >= 3""")
 def interval_complement(spark, d):
-    return intervals.complement(spans(spark, d), ["c"], "s", "e", F.lit(7000).cast("long"), F.lit(11500).cast("long"), 3)
+    return intervals.complement(spans(spark, d), ["c"], "s", "e", F.lit(7000).cast("long"), F.lit(20000).cast("long"), 3)
 
 
 @register("distinct_feature_coverage", "WITH " + STEPS + "SELECT CASE WHEN depth = 1 THEN 'once' ELSE 'more' END AS class, CAST(sum(e - s) AS BIGINT) AS positions FROM k WHERE depth > 0 GROUP BY 1")
@@ -127,7 +127,7 @@ def distinct_feature_coverage(spark, d):
     return k.groupBy(F.when(F.col("depth") == 1, "once").otherwise("more").alias("class")).agg(F.sum(F.col("e") - F.col("s")).alias("positions"))
 
 
-EV = "SELECT user_id AS c, event_id, event_type, CAST(epoch(ts) AS BIGINT) AS p, CAST(floor(value) AS BIGINT) AS w FROM events"
+EV = "SELECT user_id AS c, event_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS p, CAST(floor(value) AS BIGINT) AS w FROM events"
 
 
 def ev(spark, d):
