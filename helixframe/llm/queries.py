@@ -114,10 +114,9 @@ CATEGORY_WORDS = {
 
 
 def _toxicity_chain(spark: SparkSession, sf_dir: str):
-    from helixframe.llm.toxicity import category_labels, fit
+    from helixframe.llm.toxicity import fit
 
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    return fit(docs, category_labels(docs, labels, CATEGORY_WORDS), [*CATEGORY_WORDS, "toxic"])
+    return fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), [*CATEGORY_WORDS, "toxic"], CATEGORY_WORDS)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

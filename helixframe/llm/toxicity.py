@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import text_of
+from helixframe.llm.common import text_of, written
 
 #: Training rows at most: of each value of the last category, the first by hash of their id.
 MAX_POSITIVE, MAX_NEGATIVE = 3_000, 6_000
 #: Words in the models at most, the least likelihood-ratio statistic and documents of one.
 VOCABULARY, MIN_STATISTIC, MIN_DOCS = 512, 20.0, 3
-FOLDS, RIDGE, STEPS = 5, 1.0, 25
+FOLDS, RIDGE, STEPS = 5, 0.03, 25
 THRESHOLD = 0.5
 
 
@@ -66,7 +66,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         p = _sigmoid(x @ w)
         step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
@@ -101,25 +101,32 @@ def _present(vocabulary: dict[str, int]):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: str = "doc_id", text_col: str = "text", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> Chain:
+def fit(
+    docs: DataFrame, labels: DataFrame, categories: Sequence[str], seeds: dict[str, Sequence[str]] | None = None, id_col: str = "doc_id", text_col: str = "text",
+    max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE,
+) -> Chain:
     """A chain for the 0/1 columns ``categories`` of ``labels``, in that order, fitted on a bounded sample of labelled rows.
 
-    Rows with a null id or label are left out; with no labelled rows, or one value only, nothing is ever rejected.
+    Where ``seeds`` names words for a category, its label is made instead of read: the last category holds
+    and the text has one of the words. The sample's texts are written once; all else reads only them. Rows with a null
+    id or label are left out; with no labelled rows, or one value only, nothing is ever rejected.
     """
-    last = categories[-1]
-    known = labels.select(F.col(id_col).cast("long").alias("__id"), *[F.col(c).cast("int").alias(f"__y{i}") for i, c in enumerate(categories)]).na.drop()
-    y_last = F.col(f"__y{len(categories) - 1}")
+    seeds = seeds or {}
+    read = [c for c in categories if c not in seeds]
+    known = labels.select(F.col(id_col).cast("long").alias("__id"), *[F.col(c).cast("int").alias(f"__{c}") for c in read]).na.drop()
+    last = F.col(f"__{categories[-1]}")
     order = [F.xxhash64("__id"), F.col("__id")]
-    sample = known.filter(y_last == 1).orderBy(*order).limit(max_positive).union(known.filter(y_last == 0).orderBy(*order).limit(max_negative))
-    sample = F.broadcast(sample)  # at most max_positive + max_negative rows
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), text_of(text_col).alias("__text")).join(sample, "__id")
-    columns = ["__id", *[f"__y{i}" for i in range(len(categories))], "__text"]
+    sample = known.filter(last == 1).orderBy(*order).limit(max_positive).union(known.filter(last == 0).orderBy(*order).limit(max_negative))
+    found = docs.select(F.col(id_col).cast("long").alias("__id"), text_of(text_col).alias("__text")).join(F.broadcast(sample), "__id")  # at most max_positive + max_negative rows
+    texts = written(found, "toxicity-sample").dropDuplicates(["__text"])  # copies would make a text's rare words look telling
+    made = [(last == 1) & F.lower("__text").rlike(r"\b(" + "|".join(map(re.escape, seeds[c])) + r")\b") if c in seeds else F.col(f"__{c}") == 1 for c in categories]
+    texts = texts.select("__id", *[m.cast("int").alias(f"__y{i}") for i, m in enumerate(made)], "__text")
+    y_last = F.col(f"__y{len(categories) - 1}")
     kinds = ", ".join(["__id long", *[f"__y{i} int" for i in range(len(categories))]])
-    split = texts.select(*columns).mapInArrow(_words_of, f"{kinds}, words array<string>")
-    totals = texts.groupBy(y_last.alias("y")).count().collect()
-    n = {r["y"]: r["count"] for r in totals}
+    n = {r["y"]: r["count"] for r in texts.groupBy(y_last.alias("y")).count().collect()}
     if not n.get(0) or not n.get(1):
         return Chain(tuple(categories), {}, tuple(np.append(np.zeros(k), -40.0) for k in range(len(categories))))
+    split = texts.mapInArrow(_words_of, f"{kinds}, words array<string>")
     counts = split.select(y_last.alias("y"), F.explode("words").alias("word")).groupBy("word").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("b"))
     a, b, p, q = F.col("a"), F.col("b"), F.lit(n[1] / (n[0] + n[1])), F.lit(n[0] / (n[0] + n[1]))
 
@@ -129,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: s
     counts = counts.withColumn("g", 2 * (part(a, p) + part(b, q))).filter((a + b >= MIN_DOCS) & (F.col("g") >= MIN_STATISTIC))
     chosen = [r["word"] for r in counts.orderBy(F.desc("g"), "word").limit(VOCABULARY).collect()]
     vocabulary = {w: i for i, w in enumerate(chosen)}
-    rows = texts.select(*columns).mapInArrow(_present(vocabulary), f"{kinds}, at array<int>").collect()
+    rows = texts.mapInArrow(_present(vocabulary), f"{kinds}, at array<int>").collect()
     rows.sort(key=lambda r: (r["__id"], r["at"]))
     x = np.zeros((len(rows), len(vocabulary)))
     for i, r in enumerate(rows):
@@ -178,14 +185,3 @@ def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text", threshold:
                 yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def category_labels(docs: DataFrame, labels: DataFrame, seeds: dict[str, Sequence[str]], toxic_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``labels`` with a 0/1 column for each category of ``seeds``: the row is toxic and its text has one of the category's words."""
-    text = F.lower(text_of(text_col))
-    flags = [text.rlike(r"\b(" + "|".join(map(re.escape, ws)) + r")\b").cast("int").alias(f"__{c}") for c, ws in seeds.items()]
-    marked = docs.select(F.col(id_col).cast("long").alias("__id"), *flags).groupBy("__id").agg(*[F.max(f"__{c}").alias(f"__{c}") for c in seeds])
-    known = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(toxic_col).cast("int").alias("toxic")).filter("toxic = 1").join(marked, "__id")
-    clean = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(toxic_col).cast("int").alias("toxic")).filter("toxic = 0")
-    made = known.select(F.col("__id").alias(id_col), *[F.col(f"__{c}").alias(c) for c in seeds], "toxic")
-    return made.union(clean.select(F.col("__id").alias(id_col), *[F.lit(0).alias(c) for c in seeds], "toxic"))
