@@ -307,3 +307,29 @@ def confusion(truth: DataFrame, calls: DataFrame, keys: list[str], value: str) -
     n = lambda cond: F.coalesce(F.sum(cond.cast("long")), F.lit(0))
     it, ic = F.col("__it").isNotNull(), F.col("__ic").isNotNull()
     return both.agg(n(it & ic & F.col("__t").eqNullSafe(F.col("__c"))).alias("tp"), n(it & ic & ~F.col("__t").eqNullSafe(F.col("__c"))).alias("error"), n(~it & ic).alias("fp"), n(it & ~ic).alias("fn"))
+
+
+def genotype_priors(spark, het: float = 0.001, hom: float = 0.0005, transition: float = 4.0) -> DataFrame:
+    """Prior of each unordered genotype given the reference base: 1 for the reference itself, ``het`` or ``hom`` for new ones, their product for two new alleles, and ``transition`` times that if an allele is a transition."""
+    bases = F.array(*[F.lit(b) for b in "ACGT"])
+    t = spark.range(1).select(F.explode(bases).alias("ref")).withColumn("a", F.explode(bases)).withColumn("b", F.explode(bases)).filter("a <= b")
+    ref, a, b = F.col("ref"), F.col("a"), F.col("b")
+    base = F.when((a == ref) & (b == ref), 1.0).when((a == ref) | (b == ref), het).when(a == b, hom).otherwise(het * hom)
+    other = F.translate(ref, "ACGT", "GTAC")
+    return t.select("ref", F.concat("a", "b").alias("genotype"), (base * F.when((a == other) | (b == other), transition).otherwise(1.0)).alias("prior"))
+
+
+def differential_regions(df: DataFrame, keys: list[str], group: str, sides: tuple, value: str, least_n: int = 5, least_difference: float = 0.1, cutoff: float = 2.0) -> DataFrame:
+    """Regions with enough sites on both sides, a mean difference of at least ``least_difference`` and |t| of at least ``cutoff``."""
+    x = t_statistic(df, keys, group, sides, value)
+    difference = F.col("mean_a") - F.col("mean_b")
+    return x.filter((F.col("n_a") >= least_n) & (F.col("n_b") >= least_n) & (F.abs(difference) >= least_difference) & (F.abs(F.col("t")) >= cutoff)).withColumn("difference", difference)
+
+
+def overlap_significance(overlap: Column, score: Column, match: float = 0.25) -> Column:
+    """Chance that an overlap of that length scores at least as well by luck: the binomial tail of matches at rate ``match``."""
+    from helixframe.functions.calc import comb
+
+    n, k = overlap.cast("long"), score.cast("long")
+    terms = F.when(k <= n, F.sequence(k, n)).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(terms, F.lit(0.0), lambda a, i: a + comb(n, i).cast("double") * F.pow(F.lit(match), i.cast("double")) * F.pow(F.lit(1 - match), (n - i).cast("double")))

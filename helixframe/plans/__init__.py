@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES: tuple[str, ...] = ("aggregates", "joins", "ordered", "scalars", "statistics", "streams", "embedded")
+FAMILIES: tuple[str, ...] = ("aggregates", "joins", "ordered", "scalars", "statistics", "streams", "embedded", "extras")
 
 
 def load() -> None:

@@ -326,3 +326,26 @@ def region(df: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
 
 def depth_or_zero(column: str, sentinel: int = 65535) -> Column:
     return F.when(F.col(column) == sentinel, 0).otherwise(F.col(column))
+
+
+def str_results(spark: SparkSession, path) -> DataFrame:
+    """Short-tandem-repeat results: sample, locus and alleles. A sample is the text between "DNA Analysis Result" lines.
+
+    Its third line is the sample's name and from the tenth on loci follow: a name, four fields, the number of alleles, and that many alleles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for record in batch.column(0).to_pylist():
+                rows = [x.strip() for x in record.strip().splitlines()]
+                at = 9
+                while at + 5 < len(rows):
+                    n = int(rows[at + 5])
+                    for column, value in zip(out, (rows[2], rows[at], rows[at + 6 : at + 6 + n]), strict=True):
+                        column.append(value)
+                    at += 6 + n
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.string()))], names=["sample", "locus", "alleles"])
+
+    raw = spark.read.option("lineSep", "DNA Analysis Result").text(path).filter(F.trim(F.regexp_replace("value", r"\s", "")) != "")
+    return raw.mapInArrow(run, "sample string, locus string, alleles array<string>")

@@ -126,3 +126,22 @@ def test_html(spark):
     assert r["t"] == "A & B t bold l i" and r["l"] == ["u"]
     assert r["m"] == "## T\n**b** [l](u)\n- i"
     assert math.isfinite(len(r["m"]))
+
+
+def test_registered_functions(spark):
+    from pyspark.sql import types as T
+
+    from helixframe.functions import calc, registry
+
+    registry.register(spark)
+    r = spark.sql("SELECT hx_gc('GGCAT') AS gc, hx_qualcount('!5I', 20) AS n, hx_lshift(1, 4) AS l, hx_murmur128('') AS e, hx_murmur128('hello') AS h").first()
+    assert (r["gc"], r["n"], r["l"], r["e"], r["h"]) == (0.6, 2, 16, "0" * 32, "cbd8a7b341bd9b025b1e906a48ae1d19")
+    registry.add(spark, "hx_plus", lambda x, y: x + y, T.LongType())
+    assert spark.range(1).select(calc.call("custom", "hx_plus", 2, 3).alias("v")).first()["v"] == 5
+
+
+def test_overlap_significance(spark):
+    from helixframe.operators.stats import overlap_significance
+
+    got = spark.range(1).select(overlap_significance(L(10), L(8)).alias("p")).first()["p"]
+    assert got == pytest.approx(sum(math.comb(10, i) * 0.25**i * 0.75 ** (10 - i) for i in range(8, 11)))

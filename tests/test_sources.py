@@ -136,3 +136,10 @@ def test_bucketed_table_joins_without_a_shuffle_of_its_side(spark):
         spark.sql("drop table bucketed_a")
         spark.sql("drop table bucketed_b")
     assert "Exchange" not in plan
+
+
+def test_tandem_repeat_results(spark, put):
+    sample = "1.0\nPCR\n{}\n3\n4\n5\n6\n7\n2\nD3\n1\nx\nx\nx\n2\n14\n15\nTH01\n1\nx\nx\nx\n0\n"
+    text = "DNA Analysis Result\n" + sample.format("S1") + "DNA Analysis Result\n" + sample.format("S2") + "DNA Analysis Result\n"
+    got = sorted((r["sample"], r["locus"], r["alleles"]) for r in R.str_results(spark, put("s.dat", text)).collect())
+    assert got == [("S1", "D3", ["14", "15"]), ("S1", "TH01", []), ("S2", "D3", ["14", "15"]), ("S2", "TH01", [])]
