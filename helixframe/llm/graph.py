@@ -12,22 +12,27 @@ def _pairs(edges: DataFrame) -> DataFrame:
     return edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with the least node ``m`` of their ``u``. The sums' key is derived anew, so the planner shuffles them apart from their aggregation and can split a node with very many edges."""
+    return edges.join(least.select(F.concat("u", F.lit("")).alias("__u"), "m"), F.col("u") == F.col("__u")).drop("__u")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(least, "u")
+    joined = _with_least(edges, least)
     return joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """``node`` and ``root`` (the least node of its component) of every node that has an edge and is not its component's root.
 
-    ``edges`` has columns u and v. A round gives each node's larger neighbours to its least one and then
+    ``edges`` has string columns u and v. A round gives each node's larger neighbours to its least one and then
     joins its smaller neighbours to the least of them; it ends when edges no longer change, which is
     after a number of rounds that grows with the logarithm of the longest path.
     """

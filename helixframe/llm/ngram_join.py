@@ -28,7 +28,7 @@ RECALL, MAX_HASHES = 0.9999, 192
 #: Members and n-grams of one cell.
 CELL_DOCS, CELL_GRAMS = 256, 400_000
 #: Words whose hashes a worker remembers.
-MEMO = 400_000
+MEMO = 200_000
 #: n-grams hashed at once, columns of a dense block.
 CHUNK, COLUMNS = 8192, 4096
 
