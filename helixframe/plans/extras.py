@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.catalog import register
 from helixframe.functions import registry, seq
-from helixframe.operators import intervals, stats
+from helixframe.operators import intervals, models, stats
 from helixframe.plans.common import day, r, sql_day, t
 from helixframe.plans.scalars import DNA, dna
 
@@ -120,3 +120,23 @@ def depth_sentinel(spark, d):
 def daily_first_last(spark, d):
     g = t(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
     return g.select("o_custkey", day("a").alias("first"), day("b").alias("last"))
+
+
+@register("marker_scan", """
+WITH c AS (SELECT p_brand, p_size % 3 AS g, p_retailprice AS y FROM part), a AS (SELECT p_brand, g, count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM c GROUP BY 1, 2), b AS (SELECT p_brand, CAST(sum(n) AS BIGINT) AS n, count(*) AS classes, sum(q) - sum(s) * sum(s) / sum(n) AS r0, sum(q - s * s / n) AS r1 FROM a GROUP BY 1)
+SELECT p_brand, n, classes, CASE WHEN r0 > 0.001 AND r1 > 0.001 THEN round(n / 2.0 * log10(r0 / r1), 3) END AS lod FROM b""")
+def marker_scan(spark, d):
+    x = models.marker_scan(t(spark, d, "part").withColumn("g", F.col("p_size") % 3), "p_brand", "g", "p_retailprice")
+    return x.select("p_brand", "n", "classes", r(F.col("lod"), 3).alias("lod"))
+
+
+@register("count_min_sketch")
+def count_min_sketch(spark, d):
+    """Approximate counts of part keys from a sketch of fixed size; never below the exact ones (tested)."""
+    li = t(spark, d, "lineitem", "l_partkey")
+    return models.count_min_query(li, "l_partkey", models.count_min(li, "l_partkey"))
+
+
+@register("improved_pairs")
+def improved_pairs(spark, d):
+    return models.improved_pairs(t(spark, d, "supplier"), ["s_nationkey"], "s_suppkey", "s_acctbal")

@@ -349,3 +349,19 @@ def str_results(spark: SparkSession, path) -> DataFrame:
 
     raw = spark.read.option("lineSep", "DNA Analysis Result").text(path).filter(F.trim(F.regexp_replace("value", r"\s", "")) != "")
     return raw.mapInArrow(run, "sample string, locus string, alleles array<string>")
+
+
+def xz_lines(spark: SparkSession, path) -> DataFrame:
+    """Lines of xz files, which Spark has no codec for: a file is decompressed in one task as a stream, so many files are read in parallel and one is not held whole as text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+        import lzma
+
+        for batch in batches:
+            for content in batch.column(0):
+                with lzma.open(io.BytesIO(content.as_py()), "rt", encoding="utf-8", newline="\n") as f:
+                    while rows := f.readlines(1 << 20):
+                        yield pa.RecordBatch.from_arrays([pa.array([r.rstrip("\r\n") for r in rows], pa.string())], names=["value"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "value string")
