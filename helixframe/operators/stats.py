@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixframe.operators.windows import running_sums
+
 
 def hardy_weinberg(df: DataFrame, aa: str, ab: str, bb: str) -> DataFrame:
     """Allele frequency, expected genotype counts, chi-squared, and whether heterozygotes exceed 2pqN by over 1.001."""
@@ -146,8 +148,7 @@ def rank_sum(df: DataFrame, group: str, sides: tuple, value: str) -> DataFrame:
     """Mann-Whitney U of two groups with the tie-corrected normal z; equal values are summed first, so no value is ranked twice."""
     a, b = sides
     counts = df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(value).agg(F.sum(F.when(F.col(group) == a, 1).otherwise(0)).alias("na"), F.count("*").alias("n"))
-    before = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2.0)
+    ranked = running_sums(counts, [], value, F.col("n"), out="upto").withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2.0)
     s = ranked.agg(F.sum(F.col("rank") * F.col("na")).alias("ra"), F.sum("na").alias("na"), F.sum("n").alias("n"), F.sum(F.pow("n", F.lit(3.0)) - F.col("n")).alias("ties"))
     nb = F.col("n") - F.col("na")
     u = F.col("ra") - F.col("na") * (F.col("na") + 1) / 2.0
@@ -159,9 +160,9 @@ def ks_statistic(df: DataFrame, group: str, sides: tuple, value: str) -> DataFra
     """Largest distance of two empirical distributions."""
     a, b = sides
     counts = df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(value).agg(*[F.sum(F.when(F.col(group) == s, 1).otherwise(0)).alias(n) for n, s in (("a", a), ("b", b))])
-    upto, whole = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy()
-    share = lambda c: F.sum(c).over(upto) / F.sum(c).over(whole)
-    return counts.select(F.abs(share("a") - share("b")).alias("d")).agg(F.max("d").alias("d"))
+    whole = counts.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
+    both = running_sums(running_sums(counts, [], value, F.col("a"), out="ua"), [], value, F.col("b"), out="ub")
+    return both.join(F.broadcast(whole)).agg(F.max(F.abs(F.col("ua") / F.col("ta") - F.col("ub") / F.col("tb"))).alias("d"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -22,12 +22,39 @@ def cumulative(df: DataFrame, keys: list[str], order: list, weight: str) -> Data
     return df.withColumn("cumulative", F.try_divide(F.sum(weight).over(upto).cast("double"), total.cast("double"))).withColumn("at_least", F.sum(weight).over(on))
 
 
-def average_rank(df: DataFrame, keys: list[str], order: Column, out: str = "rank") -> DataFrame:
-    """Ranks in which ties share their mean."""
-    by = Window.partitionBy(*keys).orderBy(order)
-    first = df.withColumn("__r", F.rank().over(by))
-    ties = F.count("*").over(Window.partitionBy(*keys, "__r"))
-    return first.withColumn(out, F.col("__r") + (ties - 1) / 2.0).drop("__r")
+def bucketed(df: DataFrame, order: str, parts: int = 64) -> DataFrame:
+    """``df`` with ``__b``, the range of ``order`` that a row falls in; equal values share one, null comes before all. Cuts are approximate quantiles, at most ``parts`` numbers on the driver."""
+    cuts = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.002)))
+    over = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    return df.withColumn("__b", F.when(F.col(order).isNull(), -1).otherwise(over).cast("int"))
+
+
+def running_sums(df: DataFrame, keys: list[str], order: str, value: Column, ties: list | None = None, out: str = "running", parts: int = 64) -> DataFrame:
+    """Running sum of ``value`` in order of a numeric column, for keys of which one may hold a large share of all rows (or none at all).
+
+    A window over such a key is one task's work. Here it is cut into ranges: sums of whole ranges come first, from one
+    row a key and range, and only the rows of one range are ordered in a task. With ``ties`` rows are summed one by one, else equal values together.
+    """
+    cut = bucketed(df, order, parts).withColumn("__v", value)
+    sums = cut.groupBy(*keys, "__b").agg(F.sum("__v").alias("__s"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__b").alias("__ob"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__o"))
+    same = F.col("__b") == F.col("__ob")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    inside = Window.partitionBy(*keys, "__b")
+    inside = inside.orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow) if ties is not None else inside.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return cut.join(offsets, same).withColumn(out, F.sum("__v").over(inside) + F.col("__o")).select(*df.columns, out)
+
+
+def average_rank(df: DataFrame, keys: list[str], order: str, out: str = "rank") -> DataFrame:
+    """Ranks in which ties share their mean: values are counted first, so the running sum is over distinct ones."""
+    counts = df.groupBy(*keys, order).agg(F.count("*").alias("__n"))
+    ranked = running_sums(counts, keys, order, F.col("__n"), out="__upto").withColumn(out, F.col("__upto") - (F.col("__n") - 1) / 2.0)
+    same = F.col(order).eqNullSafe(F.col("__ro"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__r{i}"))
+    return df.join(ranked.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)], F.col(order).alias("__ro"), out), same).select(*df.columns, out)
 
 
 def prefix_offsets(df: DataFrame, keys: list[str], order: list, length: str, spacer: int = 0, out: str = "offset") -> DataFrame:
@@ -89,11 +116,12 @@ def zones(df: DataFrame, keys: list[str], pos: str, left: str, right: str, value
     return inside.groupBy(*keys, F.floor((F.col(pos) - F.col(left)) / step).cast("long").alias("zone")).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
 
 
-def equal_zones(df: DataFrame, keys: list[str], order: list, n: int = 10) -> DataFrame:
+def equal_zones(df: DataFrame, keys: list[str], order: str, n: int = 10) -> DataFrame:
     """The rows dealt in order into ``n`` zones of floor(count / n), the rest in the last."""
-    number, total = F.row_number().over(_w(keys, order)), F.count("*").over(Window.partitionBy(*keys))
-    size = F.greatest(F.lit(1), F.floor(total / n))
-    return df.withColumn("zone", F.least(F.floor((number - 1) / size), F.lit(n - 1)).cast("int"))
+    totals = df.groupBy(*keys).agg(F.count("*").alias("__t"))
+    numbered = running_sums(df, keys, order, F.lit(1), ties=[], out="__number").join(totals, keys)
+    size = F.greatest(F.lit(1), F.floor(F.col("__t") / n))
+    return numbered.withColumn("zone", F.least(F.floor((F.col("__number") - 1) / size), F.lit(n - 1)).cast("int")).select(*df.columns, "zone")
 
 
 def regimes(df: DataFrame, keys: list[str], order: str, state: str, least: int) -> DataFrame:

@@ -330,20 +330,22 @@ WITH x AS (SELECT n_regionkey, c_custkey, round(c_acctbal / 1000, 0) AS b FROM c
 SELECT n_regionkey, c_custkey, r + (n - 1) / 2.0::DOUBLE AS rank FROM y""")
 def avg_tie_rank(spark, d):
     x = t(spark, d, "customer").join(F.broadcast(t(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("n_regionkey", "c_custkey", F.round(F.col("c_acctbal") / 1000, 0).alias("b"))
-    return windows.average_rank(x, ["n_regionkey"], F.asc("b")).select("n_regionkey", "c_custkey", "rank")
+    return windows.average_rank(x, ["n_regionkey"], "b").select("n_regionkey", "c_custkey", "rank")
 
 
 @register("qq_transform", "SELECT event_type, event_id, round(-log10(row_number() OVER w / count(*) OVER (PARTITION BY event_type)), 6) AS expected FROM events WINDOW w AS (PARTITION BY event_type ORDER BY value, event_id)")
 def qq_transform(spark, d):
-    k, n = F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id")), F.count("*").over(Window.partitionBy("event_type"))
-    return t(spark, d, "events").select("event_type", "event_id", r(-F.log10(k / n)).alias("expected"))
+    e = t(spark, d, "events", "event_type", "event_id", "value")
+    ranked = windows.running_sums(e, ["event_type"], "value", F.lit(1), ties=["event_id"], out="k")
+    n = F.broadcast(e.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n")))  # the five kinds of event
+    return ranked.join(n, F.col("event_type") == F.col("kind")).select("event_type", "event_id", r(-F.log10(F.col("k") / F.col("n"))).alias("expected"))
 
 
 @register("equal_count_zones", """
 WITH x AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events), z AS (SELECT *, least((k - 1) // greatest(1, n // 10), 9) AS zone FROM x)
 SELECT event_type, CAST(zone AS INTEGER) AS zone, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM z GROUP BY 1, 2""")
 def equal_count_zones(spark, d):
-    z = windows.equal_zones(t(spark, d, "events", "event_type", "event_id"), ["event_type"], ["event_id"], 10)
+    z = windows.equal_zones(t(spark, d, "events", "event_type", "event_id"), ["event_type"], "event_id", 10)
     return z.groupBy("event_type", "zone").agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"), F.count("*").alias("n"))
 
 

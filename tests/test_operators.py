@@ -152,12 +152,26 @@ def test_windows(spark):
     assert [(r["v"], r["at_least"], round(r["cumulative"], 6)) for r in c.orderBy("v").collect()] == [(0, 6, round(1 / 6, 6)), (30, 5, 0.5), (60, 3, 1.0)]
     lengths = spark.createDataFrame([(x,) for x in (2, 3, 5, 10)], "l int")
     assert rows(W.nx(lengths, [], "l")) == [(10, 20)]
-    ties = W.average_rank(spark.createDataFrame([("a", x) for x in (1, 2, 2, 4)], "k string, v int"), ["k"], F.asc("v"))
+    ties = W.average_rank(spark.createDataFrame([("a", x) for x in (1, 2, 2, 4)], "k string, v int"), ["k"], "v")
     assert sorted(r["rank"] for r in ties.collect()) == [1.0, 2.5, 2.5, 4.0]
     kept = W.take_until(df, ["k"], ["i"], "v", 30)
     assert [r["i"] for r in kept.orderBy("i").collect()] == [0, 1]
 
 
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_running_sums_over_ranges_equal_a_plain_scan(spark, keys):
+    rnd = random.Random(6)
+    data = [(rnd.choice([1, 1, 1, None]), i, rnd.choice([None, rnd.randrange(50) / 2]), rnd.randrange(9)) for i in range(400)]
+    df = spark.createDataFrame(data, "k int, i int, x double, v int")
+    by_row = {r["i"]: r["running"] for r in W.running_sums(df, keys, "x", F.col("v"), ties=["i"], parts=7).collect()}
+    together = {r["i"]: r["running"] for r in W.running_sums(df, keys, "x", F.col("v"), parts=7).collect()}
+    at = lambda x: -1.0 if x is None else x
+    for k, i, x, _ in data:
+        own = [r for r in data if not keys or r[0] == k]
+        assert by_row[i] == sum(r[3] for r in own if (at(r[2]), r[1]) <= (at(x), i))
+        assert together[i] == sum(r[3] for r in own if at(r[2]) <= at(x))
+
+
 def test_fewest_switches_equals_exhaustive_search(spark):
     rnd = random.Random(2)
     series = [[sorted(rnd.sample("abc", rnd.randrange(1, 4))) for _ in range(6)] for _ in range(10)]
