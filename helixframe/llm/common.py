@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 #: At most this many groups are broadcast by ``lookup``: 50,000 rows of under 200 bytes are 10 MB.
 MAX_HEAVY = 50_000
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1_000
 #: A group smaller than this is never treated as heavy.
-MIN_HEAVY = 2_000
+MIN_HEAVY = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +34,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands Python at most BATCH_ROWS rows at once: rows hold whole texts, so Spark's ten thousand can be gigabytes."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key, "10000")) > BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def text_of(name: str = "text") -> Column:
     """A text column in which null counts as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import lookup, text_of, written
+from helixframe.llm.common import lookup, small_batches, text_of, written
 
 #: Bytes of text that one table holds before it spills.
 TABLE_BYTES = 48 << 20
@@ -192,7 +192,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     fields = [T.StructField("digest", T.BinaryType()), T.StructField("key", T.LongType()), T.StructField("size", T.LongType())]
     content = [T.StructField("content", T.BinaryType())]
     payload = [T.StructField("row", row_type)] if row_type is not None else []
-    combined = docs.select(*selected).mapInArrow(_combiner(row, table_bytes), T.StructType(fields + content + payload))
+    combined = small_batches(docs).select(*selected).mapInArrow(_combiner(row, table_bytes), T.StructType(fields + content + payload))
     dealt = combined.repartition("digest")
     return dealt.mapInArrow(_reducer(row, table_bytes, carry), T.StructType(fields + (content if carry else []) + payload))
 

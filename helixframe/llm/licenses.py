@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import text_of
+from helixframe.llm.common import small_batches, text_of
 
 #: Templates that the ranking passes on, the share of a template's words that may differ, and compression level.
 CONFIRM, MAX_CHANGED, LEVEL = 4, 0.15, 3
@@ -181,6 +181,6 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, id_col: str
     Only texts that hold a cue leave the JVM. Only the two named columns are read.
     """
     fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("license", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("reduction", T.DoubleType()), T.StructField("n_changed", T.LongType()), T.StructField("changes", T.StringType())]
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).filter(F.col("text").rlike("(?i)licen[sc]ed?\\b|copyright|permission|redistribut|public domain|spdx"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).filter(F.col("text").rlike("(?i)licen[sc]ed?\\b|copyright|permission|redistribut|public domain|spdx"))
     out = rows.mapInArrow(_scan(templates, [f.name for f in fields]), T.StructType(fields))
     return out.withColumnRenamed("id", id_col)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import lookup, text_of, written
+from helixframe.llm.common import lookup, small_batches, text_of, written
 from helixframe.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -184,7 +184,7 @@ def _verify(threshold: float):
 
         now, members = None, {}
         for batch in batches:
-            for task, fp, side, copies, grams in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for task, fp, side, copies, grams in zip(*[c.to_pylist() for c in batch.columns[:4]], batch.column(4), strict=True):
                 if task != now:
                     for row in solved(members):
                         for column, value in zip(out, row, strict=True):
@@ -193,7 +193,7 @@ def _verify(threshold: float):
                     if len(out[0]) >= 5000:
                         yield made()
                         out = ([], [], [])
-                members[fp] = (copies, side, grams)
+                members[fp] = (copies, side, grams.as_py())
         for row in solved(members):
             for column, value in zip(out, row, strict=True):
                 column.append(value)
@@ -208,17 +208,20 @@ def _tasks(members: DataFrame, threshold: float, cell_docs: int, cell_grams: int
     A component within one cell's bounds is one task. In a larger one, members of one size class are dealt to cells by hash,
     and each cell meets the cells of its own class and of the two next to it.
     """
-    whole = members.groupBy("root").agg(F.count("*").alias("r_docs"), F.sum("grams").alias("r_grams"))
-    marked = members.join(whole, "root").withColumn("klass", F.floor(F.log(F.col("grams").cast("double")) / F.lit(math.log(1 / threshold))).cast("long"))
+    whole = written(members.groupBy("root").agg(F.count("*").alias("r_docs"), F.sum("grams").alias("r_grams")), "join-components")
+    marked = lookup(members, whole, "root", "r_docs").withColumn("klass", F.floor(F.log(F.col("grams").cast("double")) / F.lit(math.log(1 / threshold))).cast("long"))
     small = (F.col("r_docs") <= cell_docs) & (F.col("r_grams") <= cell_grams)
     one = marked.filter(small).withColumn("tasks", F.array(F.struct(F.col("root").alias("task"), F.lit(0).alias("side"))))
-    large = marked.filter(~small)
-    sizes = large.groupBy("root", "klass").agg(F.greatest(F.ceil(F.count("*") / F.lit(cell_docs)), F.ceil(F.sum("grams") / F.lit(cell_grams))).cast("int").alias("cells"))
+    large = marked.filter(~small).withColumn("cellkey", F.concat_ws(":", "root", F.col("klass").cast("string")))
+    counts = F.greatest(F.ceil(F.count("*") / F.lit(cell_docs)), F.ceil(F.sum("grams") / F.lit(cell_grams))).cast("int")
+    sizes = written(large.groupBy("root", "klass").agg(F.count("*").alias("k_docs"), counts.alias("cells")), "join-cells")
 
     def near(step: int, name: str) -> DataFrame:
         return sizes.select("root", (F.col("klass") + step).alias("klass"), F.col("cells").alias(name))
 
-    placed = large.join(near(0, "own"), ["root", "klass"]).join(near(1, "lower"), ["root", "klass"], "left").join(near(-1, "upper"), ["root", "klass"], "left")
+    around = sizes.withColumnRenamed("cells", "own").join(near(1, "lower"), ["root", "klass"], "left").join(near(-1, "upper"), ["root", "klass"], "left")
+    keyed = around.select(F.concat_ws(":", "root", F.col("klass").cast("string")).alias("cellkey"), "k_docs", "own", "lower", "upper")
+    placed = lookup(large, keyed, "cellkey", "k_docs")
     placed = placed.withColumn("cell", F.pmod(F.xxhash64("fp"), F.col("own")).cast("int"))
 
     def named(c1: Column, n1: Column, c2: Column, n2: Column) -> Column:
@@ -239,12 +242,13 @@ def _tasks(members: DataFrame, threshold: float, cell_docs: int, cell_grams: int
 def _solve(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float, recall: float, cell_docs: int, cell_grams: int) -> tuple[DataFrame, DataFrame]:
     """(id, th, fp) of each row, and (fp, copies, class_id, class_size, links) of each distinct n-gram set."""
     bands, rows = band_shape(threshold, recall)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).select("id", F.xxhash64("text").alias("th"), "text")
+    source = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).select("id", F.xxhash64("text").alias("th"), "text")
     signed = written(source.mapInArrow(_sign(words, bands, rows, 7), "id long, th long, fp string, grams long, bands array<long>"), "join-signed")
     reps = written(signed.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands")), "join-reps")
     keys = reps.select("fp", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least <> most").select("key", "least")
-    edges = keys.join(shared, "key").filter("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    shared = keys.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least <> most")
+    shared = shared.select(F.bitwise_not("key").alias("met"), "least")  # a key of its own, so that a bucket with very many members can be split
+    edges = keys.join(shared, F.bitwise_not("key") == F.col("met")).filter("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
     stars = components(edges, "join-candidates")
     nodes = stars.select(F.col("node").alias("fp"), "root").union(stars.select(F.col("root").alias("fp"), "root").distinct())
     members = written(reps.drop("bands").join(nodes, "fp"), "join-members")
@@ -258,8 +262,9 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: f
     joined = components(found.select(F.col("fp").alias("u"), F.col("root").alias("v")), "join-classes")
     classed = reps.select("fp", "rep", "copies").join(links, "fp", "left").join(joined.withColumnRenamed("node", "fp"), "fp", "left")
     classed = classed.withColumn("root", F.coalesce("root", "fp")).withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
-    whole = classed.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    return signed.select("id", "th", "fp"), written(classed.join(whole, "root").select("fp", "copies", "class_id", "class_size", "links"), "join-done")
+    classed = written(classed, "join-classed")
+    whole = written(classed.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("members")), "join-whole")
+    return signed.select("id", "th", "fp"), written(lookup(classed, whole, "root", "members").select("fp", "copies", "class_id", "class_size", "links"), "join-done")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, cell_docs: int = CELL_DOCS, cell_grams: int = CELL_GRAMS) -> DataFrame:

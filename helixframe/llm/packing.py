@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import text_of, written
+from helixframe.llm.common import small_batches, text_of, written
 
 CAPACITY = 1024
 END_ID = 2
 #: Parts of texts whose ids a worker remembers, the first that it meets.
-MEMO = 500_000
+MEMO = 350_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -250,7 +250,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     empty, so it is ``end_id`` alone; a null id stays null; a repeated row is packed
     as often as it stands there; an empty table gives no rows. Only the two named columns are read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     pieces = written(rows.mapInArrow(_tokenize(tokenizer_path, capacity, end_id), PIECES), "pieces")
     by_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = {r[0]: r[1] for r in by_part.groupBy("length").agg(F.sum("n")).collect()}  # at most ``capacity`` rows

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import text_of
+from helixframe.llm.common import small_batches, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Window length and step, hidden units, tags (outside, then begin and inside of each kind).
@@ -418,5 +418,5 @@ def scan(docs: DataFrame, tagger: Tagger | None = None, id_col: str = "doc_id",
     very long texts are decoded a thousand windows at a time. Only the two named columns are read; an empty table gives no rows.
     """
     fields = [T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType())]
-    out = docs.select(F.col(id_col).alias("id"), text_of(text_col)).mapInArrow(_scan(tagger or train(), confidence), T.StructType(fields))
+    out = small_batches(docs).select(F.col(id_col).alias("id"), text_of(text_col)).mapInArrow(_scan(tagger or train(), confidence), T.StructType(fields))
     return out.withColumnRenamed("id", id_col) if id_col != "id" else out

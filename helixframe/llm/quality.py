@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import text_of
+from helixframe.llm.common import small_batches, text_of
 
 #: Training rows at most, the first by hash of their id: trusted positives and unlabelled documents.
 MAX_POSITIVE, MAX_UNLABELLED = 5_000, 10_000
@@ -150,7 +150,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sample(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(F.broadcast(ids), "id")
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(F.broadcast(ids), "id")
     found = rows.mapInArrow(_measure, "id long, x array<double>").collect()  # bounded by the sample
     found.sort(key=lambda r: (r["id"], r["x"]))
     return np.array([r["x"] for r in found], np.float64).reshape(-1, len(FEATURES))
@@ -183,6 +183,6 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
 
     A null text is empty and gets the empty text's score; a null id is not held out. Only id and text are read. An empty table gives no rows.
     """
-    out = docs.select(F.col(id_col).alias("id"), text_of(text_col)).mapInArrow(_score(network), T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())]))
+    out = small_batches(docs).select(F.col(id_col).alias("id"), text_of(text_col)).mapInArrow(_score(network), T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())]))
     held = F.coalesce(remainder(F.col("id")) == 0, F.lit(False))
     return out.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import text_of, written
+from helixframe.llm.common import small_batches, text_of, written
 
 #: Training rows at most: of each value of the last category, the first by hash of their id.
 MAX_POSITIVE, MAX_NEGATIVE = 3_000, 6_000
@@ -117,7 +117,7 @@ def fit(
     last = F.col(f"__{categories[-1]}")
     order = [F.xxhash64("__id"), F.col("__id")]
     sample = known.filter(last == 1).orderBy(*order).limit(max_positive).union(known.filter(last == 0).orderBy(*order).limit(max_negative))
-    found = docs.select(F.col(id_col).cast("long").alias("__id"), text_of(text_col).alias("__text")).join(F.broadcast(sample), "__id")  # at most max_positive + max_negative rows
+    found = small_batches(docs).select(F.col(id_col).cast("long").alias("__id"), text_of(text_col).alias("__text")).join(F.broadcast(sample), "__id")  # at most max_positive + max_negative rows
     texts = written(found, "toxicity-sample").dropDuplicates(["__text"])  # copies would make a text's rare words look telling
     made = [(last == 1) & F.lower("__text").rlike(r"\b(" + "|".join(map(re.escape, seeds[c])) + r")\b") if c in seeds else F.col(f"__{c}") == 1 for c in categories]
     texts = texts.select("__id", *[m.cast("int").alias(f"__y{i}") for i, m in enumerate(made)], "__text")
@@ -165,7 +165,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     A null text is empty; null and repeated ids stay as they are; an empty table gives no rows. Other columns are ignored.
     """
     n = len(chain.categories)
-    out = docs.select(F.col(id_col), text_of(text_col)).mapInArrow(_score(chain), T.StructType([T.StructField("__row", docs.schema[id_col].dataType), *[T.StructField(f"__p{k}", T.DoubleType()) for k in range(n)]]))
+    out = small_batches(docs).select(F.col(id_col), text_of(text_col)).mapInArrow(_score(chain), T.StructType([T.StructField("__row", docs.schema[id_col].dataType), *[T.StructField(f"__p{k}", T.DoubleType()) for k in range(n)]]))
     return out.select(F.col("__row").alias(id_col), *[F.col(f"__p{k}").alias(f"p_{c}") for k, c in enumerate(chain.categories)], (F.col(f"__p{n - 1}") >= threshold).alias("toxic"))
 
 
@@ -184,4 +184,4 @@ def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text", threshold:
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
