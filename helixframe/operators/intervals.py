@@ -6,6 +6,8 @@ explodes positions: joins meet in bins, coverage is a sweep over ends.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,28 +24,27 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_range: t
     only. ``how``: inner, left, left_semi or left_anti. Choose ``width`` near the typical range. Columns of the
     right side must not clash with the left's, keys apart.
     """
+    extra = [c for c in right.columns if c not in keys]
+    if how != "inner":
+        # what a row meets depends on its keys and range alone, so those are matched once each and joined back by value
+        whole = list(dict.fromkeys([*keys, *left_range]))
+        asked = left.select(*whole).distinct()
+        found = range_join(asked, right, keys, left_range, right_range, width, "inner", pad)
+        found = found.select(*[F.col(c).alias(f"__m{i}") for i, c in enumerate(whole)], *(extra if how == "left" else []))
+        found = found if how == "left" else found.distinct()
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__m{i}")) for i, c in enumerate(whole)])
+        joined = left.join(found, same, how)
+        return joined.select(*left.columns, *extra) if how == "left" else joined.select(*left.columns)
     ls, le = F.col(left_range[0]) - pad, F.col(left_range[1]) + pad
     bins = lambda a, b: F.explode(F.sequence(F.floor(a / width).cast("long"), F.floor(b / width).cast("long")))
-    renamed = [f"__r_{k}" for k in keys]
-    r = right.filter(F.col(right_range[0]) <= F.col(right_range[1])).select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    r = right.filter(F.col(right_range[0]) <= F.col(right_range[1])).select(*[F.col(k).alias(f"__r_{k}") for k in keys], *extra)
     r = r.withColumn("__rb", bins(F.col(right_range[0]), F.col(right_range[1])))
-    identified = left.withColumn("__row", F.monotonically_increasing_id()) if how in ("left", "left_anti", "left_semi") else left
-    source = identified.filter(ls <= le)
-    l = source.withColumn("__lb", bins(ls, le))
+    l = left.filter(ls <= le).withColumn("__lb", bins(ls, le))
     first = F.greatest(F.floor(ls / width), F.floor(F.col(right_range[0]) / width)).cast("long")
     condition = (F.col("__lb") == F.col("__rb")) & (F.col(right_range[0]) <= le) & (F.col(right_range[1]) >= ls)
-    for k, n in zip(keys, renamed, strict=True):
-        condition = condition & (F.col(k) == F.col(n))
-    extra = [c for c in right.columns if c not in keys]
-    if how in ("left_semi", "left_anti"):
-        hit = l.join(r, condition, "left_semi").groupBy("__row").agg(F.lit(1).alias("__hit"))
-        marked = identified.join(hit, "__row", "left").filter(F.col("__hit").isNotNull() if how == "left_semi" else F.col("__hit").isNull())
-        return marked.select(*left.columns)
-    pairs = l.join(r, condition).filter(F.col("__lb") == first)
-    if how == "inner":
-        return pairs.select(*left.columns, *extra)
-    found = pairs.select("__row", *extra)
-    return identified.join(found, "__row", "left").select(*left.columns, *extra)
+    for k in keys:
+        condition = condition & (F.col(k) == F.col(f"__r_{k}"))
+    return l.join(r, condition).filter(F.col("__lb") == first).select(*left.columns, *extra)
 
 
 def band_anti_join(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str, right_pos: str, distance: int) -> DataFrame:
@@ -130,11 +131,12 @@ def translate(df: DataFrame, blocks: DataFrame, keys: list[str], pos: str, start
 
     A position in no block is dropped, or passed through with ``keep``.
     """
-    point = df.withColumn("__a", F.col(pos)).withColumn("__id", F.monotonically_increasing_id())
-    hits = range_join(point, blocks.select(*keys, start, end, target), keys, ("__a", "__a"), (start, end), width, "left")
-    first = hits.groupBy("__id").agg(F.min(F.struct(start, end, target)).alias("__b"), *[F.first(c).alias(c) for c in df.columns])
-    out = first.withColumn("target", F.col(f"__b.{target}")).withColumn("target_pos", F.col(pos) - F.col(f"__b.{start}") + 1)
-    return (out if keep else out.filter(F.col("target").isNotNull())).select(*df.columns, "target", "target_pos")
+    asked = df.select(*keys, F.col(pos).alias("__p")).distinct()
+    hits = range_join(asked, blocks.select(*keys, start, end, target), keys, ("__p", "__p"), (start, end), width)
+    first = hits.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__p").agg(F.min(F.struct(start, end, target)).alias("__b"))
+    same = reduce(lambda x, y: x & y, [F.col(pos) == F.col("__p"), *[F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)]])
+    out = df.join(first, same, "left" if keep else "inner")
+    return out.select(*df.columns, F.col(f"__b.{target}").alias("target"), (F.col(pos) - F.col(f"__b.{start}") + 1).alias("target_pos"))
 
 
 def islands(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
