@@ -25,6 +25,8 @@ from helixframe.llm.common import small_batches, text_of
 #: Training rows at most, the first by hash of their id: trusted positives and unlabelled documents.
 MAX_POSITIVE, MAX_UNLABELLED = 5_000, 10_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 16, 40, 256, 5e-3, 1e-4, 11
+#: How far under zero the estimated risk on negatives may go before the step turns back.
+SLACK = 0.05
 #: Held-out remainder: crc32 of the id as text, modulo 5.
 FOLDS = 5
 THRESHOLD = 0.3
@@ -100,7 +102,7 @@ def _train(p: np.ndarray, u: np.ndarray, prior: float | None, epochs: int, seed:
             negative = np.logaddexp(0, g[BATCH:]).mean() - prior * np.logaddexp(0, gp).mean()
             back = np.concatenate([-prior * sp / BATCH, su / len(su)])
             forward = np.concatenate([prior * (sp - 1) / BATCH, np.zeros(len(su))])
-            dg = forward + back if negative >= 0 else -back
+            dg = forward + back if negative >= -SLACK else -back
         dh = np.outer(dg, weights[2]) * (1 - h * h)
         grads = [x.T @ dh + DECAY * weights[0], dh.sum(0), h.T @ dg + DECAY * weights[2], np.array([dg.sum()])]
         t += 1
