@@ -184,12 +184,23 @@ def range_semi_on_target(spark, d):
     return on.unionByName(off)
 
 
+def padded_overlaps(x):
+    b = x.select("c", F.col("o").alias("b"), F.col("s").alias("bs"), F.col("e").alias("be"))
+    return intervals.range_join(x, b, ["c"], ("s", "e"), ("bs", "be"), 30, "inner", 2).filter("o < b").select(F.col("o").alias("a"), "b")
+
+
 @register("overlap_padded", f"""
 WITH x AS ({SPAN}) SELECT a.o AS a, b.o AS b FROM x a JOIN x b ON a.c = b.c AND a.o < b.o AND a.s - 2 <= b.e AND b.s <= a.e + 2 WHERE a.c % 20 = 0""")
 def overlap_padded(spark, d):
-    x = spans(spark, d).filter("c % 20 = 0")
-    b = x.select("c", F.col("o").alias("b"), F.col("s").alias("bs"), F.col("e").alias("be"))
-    return intervals.range_join(x, b, ["c"], ("s", "e"), ("bs", "be"), 30, "inner", 2).filter("o < b").select(F.col("o").alias("a"), "b")
+    """The slice of ``overlap_padded_all`` that its SQL asks for: every twentieth supplier."""
+    return padded_overlaps(spans(spark, d).filter("c % 20 = 0"))
+
+
+@register("overlap_padded_all", f"""
+WITH x AS ({SPAN}) SELECT a.o AS a, b.o AS b FROM x a JOIN x b ON a.c = b.c AND a.o < b.o AND a.s - 2 <= b.e AND b.s <= a.e + 2""")
+def overlap_padded_all(spark, d):
+    """Overlapping spans of every supplier."""
+    return padded_overlaps(spans(spark, d))
 
 
 @register("overlap_2d_flags", """
