@@ -203,12 +203,9 @@ def overlap_padded_all(spark, d):
     return padded_overlaps(spans(spark, d))
 
 
-@register("overlap_2d_flags", """
-WITH g AS (SELECT l_orderkey AS o, l_suppkey AS c, CAST(l_quantity AS BIGINT) AS h, CAST(l_extendedprice / 1000 AS BIGINT) AS v FROM lineitem WHERE l_suppkey % 10 = 0), f AS (SELECT c, h, v FROM g WHERE o % 5 = 0)
-SELECT g.o, g.c, CAST(max(CASE WHEN abs(g.h - f.h) <= 1 THEN 1 ELSE 0 END) + 2 * max(CASE WHEN abs(g.v - f.v) <= 1 THEN 1 ELSE 0 END) AS INTEGER) AS flag FROM g JOIN f ON f.c = g.c GROUP BY g.o, g.c""")
-def overlap_2d_flags(spark, d):
+def flags_2d(lines):
     """Bit 1 for a neighbour in the first dimension, bit 2 in the second: two one-dimensional semi-joins, never all pairs."""
-    g = t(spark, d, "lineitem").filter("l_suppkey % 10 = 0").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("c"), F.round("l_quantity").cast("long").alias("h"), F.round(F.col("l_extendedprice") / 1000).cast("long").alias("v"))
+    g = lines.select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("c"), F.round("l_quantity").cast("long").alias("h"), F.round(F.col("l_extendedprice") / 1000).cast("long").alias("v"))
     f = g.filter("o % 5 = 0").select("c", F.col("h").alias("fh"), F.col("v").alias("fv"))
     base = g.join(f.select("c").distinct(), "c", "left_semi").select("o", "c").distinct()
     hit = lambda a, b, bit: intervals.range_join(g, f.select("c", b).distinct(), ["c"], (a, a), (b, b), 3, "left_semi", 1).select("o", "c", F.lit(bit).alias(f"b{bit}")).distinct()
@@ -216,6 +213,22 @@ def overlap_2d_flags(spark, d):
     return j.select("o", "c", (F.coalesce("b1", F.lit(0)) + F.coalesce("b2", F.lit(0))).alias("flag"))
 
 
+@register("overlap_2d_flags", """
+WITH g AS (SELECT l_orderkey AS o, l_suppkey AS c, CAST(l_quantity AS BIGINT) AS h, CAST(l_extendedprice / 1000 AS BIGINT) AS v FROM lineitem WHERE l_suppkey % 10 = 0), f AS (SELECT c, h, v FROM g WHERE o % 5 = 0)
+SELECT g.o, g.c, CAST(max(CASE WHEN abs(g.h - f.h) <= 1 THEN 1 ELSE 0 END) + 2 * max(CASE WHEN abs(g.v - f.v) <= 1 THEN 1 ELSE 0 END) AS INTEGER) AS flag FROM g JOIN f ON f.c = g.c GROUP BY g.o, g.c""")
+def overlap_2d_flags(spark, d):
+    """The slice of ``overlap_2d_flags_all`` that its SQL asks for: every tenth supplier."""
+    return flags_2d(t(spark, d, "lineitem").filter("l_suppkey % 10 = 0"))
+
+
+@register("overlap_2d_flags_all", """
+WITH g AS (SELECT l_orderkey AS o, l_suppkey AS c, CAST(l_quantity AS BIGINT) AS h, CAST(l_extendedprice / 1000 AS BIGINT) AS v FROM lineitem), f AS (SELECT c, h, v FROM g WHERE o % 5 = 0)
+SELECT g.o, g.c, CAST(max(CASE WHEN abs(g.h - f.h) <= 1 THEN 1 ELSE 0 END) + 2 * max(CASE WHEN abs(g.v - f.v) <= 1 THEN 1 ELSE 0 END) AS INTEGER) AS flag FROM g JOIN f ON f.c = g.c GROUP BY g.o, g.c""")
+def overlap_2d_flags_all(spark, d):
+    """Flags of every supplier's lines; o % 5 = 0 makes the second table."""
+    return flags_2d(t(spark, d, "lineitem"))
+
+
 @register("band_anti_join", f"""
 WITH o AS ({ORD}), x AS (SELECT l_suppkey % 150 AS c, {sql_day('l_shipdate')} AS p FROM lineitem WHERE l_returnflag = 'R') SELECT o, c, p FROM o WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.c = o.c AND abs(x.p - o.p) <= 4)""")
 def band_anti_join(spark, d):

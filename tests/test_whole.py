@@ -26,3 +26,16 @@ def test_overlaps_of_every_supplier(spark, tmp_path):
     assert len({c for c, _, _ in want}) > 15
     got = sorted((r["a"], r["b"]) for r in catalog.queries()["overlap_padded_all"](spark, str(tmp_path)).collect())
     assert got == sorted((a, b) for _, a, b in want)
+
+
+def test_flags_of_every_supplier(spark, tmp_path):
+    rows = [(o, c, q, round(v / 1000)) for o, _, _, c, q, v, _ in lines(spark, tmp_path)]
+    want = {}
+    for o, c, h, v in rows:
+        other = [(fh, fv) for fo, fc, fh, fv in rows if fc == c and fo % 5 == 0]
+        if other:
+            a, b = want.get((o, c), (0, 0))
+            want[o, c] = (a | any(abs(h - fh) <= 1 for fh, _ in other), b | any(abs(v - fv) <= 1 for _, fv in other))
+    assert len({c for _, c in want}) > 15
+    got = {(r["o"], r["c"]): r["flag"] for r in catalog.queries()["overlap_2d_flags_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: a + 2 * b for k, (a, b) in want.items()}
