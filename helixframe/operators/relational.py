@@ -107,3 +107,57 @@ def pairs(df: DataFrame, within: list[str], item: str) -> DataFrame:
     rows = df.select(*within, item).distinct()
     other = rows.withColumnRenamed(item, "__b")
     return rows.join(other, within).filter(F.col(item) < F.col("__b")).groupBy(F.col(item).alias("a"), F.col("__b").alias("b")).agg(F.count("*").alias("n"))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the shared folder (``spark.checkpoint.dir``) where that is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """``node`` and ``root`` (the least node of its component) of every node of the edges u, v that is not a root itself.
+
+    A round gives each node's larger neighbours to its least one, then joins its smaller neighbours to the least
+    of them; rounds grow with the logarithm of the longest path.
+    """
+    ordered = lambda df: df.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    state = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+    now = _kept(ordered(edges))
+    seen = state(now)
+    for _ in range(rounds):
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = ordered(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
+        now = _kept(ordered(small))
+        if (new := state(now)) == seen:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        seen = new
+    raise RuntimeError("components did not settle")
+
+
+#: 50 bands of 4 MinHash rows: a pair at similarity 0.7 shares no band with probability (1 - 0.7^4)^50 = 1.1e-6.
+BANDS, BAND_ROWS = 50, 4
+
+
+def near_classes(df: DataFrame, key: str, text: str, above: tuple[int, int] = (7, 10)) -> DataFrame:
+    """``key`` and ``class`` of every row: rows whose texts are linked by pairs of 3-gram sets with a Jaccard similarity over ``above`` are one class, named by its least key.
+
+    Equal gram sets are one set before any pair is made. Distinct sets meet by bands of MinHash rows, with recall
+    0.99999 a pair at 0.7, and every pair that meets is verified on its sets; work is quadratic in the distinct sets
+    of one band value. A text of under three characters is its own gram; a null text is a class of its own. ``key``, a long, is unique.
+    """
+    value = F.col(text)
+    grams = F.when(F.length(value) < 3, F.array(value)).otherwise(F.transform(F.sequence(F.lit(1), F.length(value) - 2), lambda i: F.substr(value, i, F.lit(3))))
+    rows = df.select(F.col(key).cast("long").alias("__k"), F.array_sort(F.array_distinct(grams)).alias("__g"))
+    sets = _kept(rows.filter("__g is not null").groupBy("__g").agg(F.min("__k").alias("__s")))
+    signature = F.transform(F.sequence(F.lit(0), F.lit(BANDS * BAND_ROWS - 1)), lambda i: F.array_min(F.transform("__g", lambda g: F.xxhash64(g, i))))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("__h", b * BAND_ROWS + 1, F.lit(BAND_ROWS))))
+    met = _kept(sets.select("__s", signature.alias("__h")).select("__s", F.explode(bands).alias("__b")))
+    pairs_met = met.withColumnRenamed("__s", "u").join(met.withColumnRenamed("__s", "v"), "__b").filter("u < v").select("u", "v").distinct()
+    sided = lambda n: sets.select(F.col("__s").alias(n), F.col("__g").alias(f"__{n}"))
+    both = pairs_met.join(sided("u"), "u").join(sided("v"), "v").withColumn("__i", F.size(F.array_intersect("__u", "__v")))
+    near = both.filter(F.col("__i") * above[1] > (F.size("__u") + F.size("__v") - F.col("__i")) * above[0]).select("u", "v")
+    named = sets.join(components(near), F.col("__s") == F.col("node"), "left").select(F.col("__g").alias("__o"), F.coalesce("root", "__s").alias("__c"))
+    return rows.join(named, F.col("__g") == F.col("__o"), "left").select(F.col("__k").alias(key), F.coalesce("__c", "__k").alias("class"))

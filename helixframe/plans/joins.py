@@ -398,13 +398,8 @@ def exact_dup_groups(spark, d):
 
 @register("near_dup_lsh")
 def near_dup_lsh(spark, d):
-    """Part names that are near copies by character sets: MinHash of ML, buckets as the join key; rows only, since hashes are the library's."""
-    from pyspark.ml.feature import CountVectorizer, MinHashLSH
-
-    p = t(spark, d, "part").select("p_partkey", F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("p_name") - 2), lambda i: F.substr(F.col("p_name"), i, F.lit(3)))).alias("grams")).filter(F.size("grams") > 0)
-    counted = CountVectorizer(inputCol="grams", outputCol="v", binary=True, vocabSize=1 << 16).fit(p).transform(p)
-    model = MinHashLSH(inputCol="v", outputCol="h", numHashTables=4, seed=3).fit(counted)
-    return model.approxSimilarityJoin(counted, counted, 0.3, "distance").filter("datasetA.p_partkey < datasetB.p_partkey").select(F.col("datasetA.p_partkey").alias("a"), F.col("datasetB.p_partkey").alias("b"), r(F.col("distance")).alias("distance"))
+    """One row a part with its class of near copies by name: MinHash bands, verified pairs, connected components."""
+    return relational.near_classes(t(spark, d, "part"), "p_partkey", "p_name")
 
 
 # ---- shape ----

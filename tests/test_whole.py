@@ -39,3 +39,26 @@ def test_flags_of_every_supplier(spark, tmp_path):
     assert len({c for _, c in want}) > 15
     got = {(r["o"], r["c"]): r["flag"] for r in catalog.queries()["overlap_2d_flags_all"](spark, str(tmp_path)).collect()}
     assert got == {k: a + 2 * b for k, (a, b) in want.items()}
+
+
+def test_classes_of_near_copies_equal_brute_force(spark, tmp_path):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdef") for _ in range(rnd.randrange(2, 30)))
+    names = [word() for _ in range(60)]
+    for _ in range(120):
+        n = rnd.choice(names)
+        at = rnd.randrange(len(n) + 1)
+        names.append(rnd.choice([n, n + rnd.choice("abz"), n[:at] + rnd.choice("abz") + n[at:]]))
+    names += ["ab", "ab", "", ""]
+    parts = [(100 + i, n) for i, n in enumerate(names)] + [(900, None), (901, None)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    sets = {k: {n} if len(n) < 3 else {n[i : i + 3] for i in range(len(n) - 2)} for k, n in parts if n is not None}
+    want = {k: k for k, _ in parts}
+    for a in sets:
+        for b in sets:
+            if a < b and want[a] != want[b] and 10 * len(sets[a] & sets[b]) > 7 * len(sets[a] | sets[b]):
+                low, high = sorted((want[a], want[b]))
+                want = {k: low if c == high else c for k, c in want.items()}
+    assert 20 < len(set(want.values())) < 120
+    got = [(r["p_partkey"], r["class"]) for r in catalog.queries()["near_dup_lsh"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want.items())
