@@ -228,8 +228,9 @@ def diversity(df: DataFrame, keys: list[str], site: str, allele: str) -> DataFra
 
 
 def posterior(df: DataFrame, priors: DataFrame, keys: list[str], hypothesis: str, likelihood: str, prior: str = "prior") -> DataFrame:
-    """Posterior of each hypothesis in a key from likelihoods and a small table of priors."""
-    joined = df.join(F.broadcast(priors.limit(10_000)), hypothesis)
+    """Posterior of each hypothesis in a key from likelihoods and a table of priors, which is broadcast where it has at most 10,000 rows."""
+    small = priors.limit(10_001).count() <= 10_000
+    joined = df.join(F.broadcast(priors) if small else priors, hypothesis)
     mass = F.col(likelihood) * F.col(prior)
     return joined.withColumn("posterior", F.try_divide(mass, F.sum(mass).over(Window.partitionBy(*keys))))
 

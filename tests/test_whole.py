@@ -6,6 +6,7 @@ import datetime as dt
 import random
 
 from helixframe import catalog
+from helixframe.operators import stats
 
 
 def lines(spark, folder, n=240, seed=5):
@@ -62,3 +63,10 @@ def test_classes_of_near_copies_equal_brute_force(spark, tmp_path):
     assert 20 < len(set(want.values())) < 120
     got = [(r["p_partkey"], r["class"]) for r in catalog.queries()["near_dup_lsh"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want.items())
+
+
+def test_posterior_keeps_every_prior(spark):
+    n = 10_500
+    df = spark.range(n).selectExpr("1 as k", "id as h", "1.0d as likelihood")
+    got = stats.posterior(df, spark.range(n).selectExpr("id as h", "2.0d as prior"), ["k"], "h", "likelihood")
+    assert got.count() == n and abs(got.first()["posterior"] - 1 / n) < 1e-12
