@@ -109,7 +109,7 @@ def pairs(df: DataFrame, within: list[str], item: str) -> DataFrame:
     return rows.join(other, within).filter(F.col(item) < F.col("__b")).groupBy(F.col(item).alias("a"), F.col("__b").alias("b")).agg(F.count("*").alias("n"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once, in the shared folder (``spark.checkpoint.dir``) where that is set."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
 
@@ -122,7 +122,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     ordered = lambda df: df.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     state = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-    now = _kept(ordered(edges))
+    now = kept(ordered(edges))
     seen = state(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -130,7 +130,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = ordered(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        now = _kept(ordered(small))
+        now = kept(ordered(small))
         if (new := state(now)) == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = new
@@ -151,10 +151,10 @@ def near_classes(df: DataFrame, key: str, text: str, above: tuple[int, int] = (7
     value = F.col(text)
     grams = F.when(F.length(value) < 3, F.array(value)).otherwise(F.transform(F.sequence(F.lit(1), F.length(value) - 2), lambda i: F.substr(value, i, F.lit(3))))
     rows = df.select(F.col(key).cast("long").alias("__k"), F.array_sort(F.array_distinct(grams)).alias("__g"))
-    sets = _kept(rows.filter("__g is not null").groupBy("__g").agg(F.min("__k").alias("__s")))
+    sets = kept(rows.filter("__g is not null").groupBy("__g").agg(F.min("__k").alias("__s")))
     signature = F.transform(F.sequence(F.lit(0), F.lit(BANDS * BAND_ROWS - 1)), lambda i: F.array_min(F.transform("__g", lambda g: F.xxhash64(g, i))))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("__h", b * BAND_ROWS + 1, F.lit(BAND_ROWS))))
-    met = _kept(sets.select("__s", signature.alias("__h")).select("__s", F.explode(bands).alias("__b")))
+    met = kept(sets.select("__s", signature.alias("__h")).select("__s", F.explode(bands).alias("__b")))
     pairs_met = met.withColumnRenamed("__s", "u").join(met.withColumnRenamed("__s", "v"), "__b").filter("u < v").select("u", "v").distinct()
     sided = lambda n: sets.select(F.col("__s").alias(n), F.col("__g").alias(f"__{n}"))
     both = pairs_met.join(sided("u"), "u").join(sided("v"), "v").withColumn("__i", F.size(F.array_intersect("__u", "__v")))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.relational import kept
+
 
 def _w(keys: list[str], order: list) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -150,21 +152,36 @@ def nx(df: DataFrame, keys: list[str], length: str, share: float = 0.5, out: str
     return marked.groupBy(*keys).agg(F.max(F.when(F.col("__c") >= share * F.col("__t"), F.col(length))).alias(out), F.max("__t").alias("total"))
 
 
-def neighbourhood_fill(df: DataFrame, x: str, y: str, value: str, least: int = 2, most: int = 8) -> DataFrame:
-    """Zero or null cells of a grid get the mean of the non-zero ones in the smallest square around them that has at least ``least``, up to radius ``most``.
-
-    A cell meets the tiles of side ``most`` around it, so a task holds a bounded square and never the grid.
-    """
-    cells = df.select(F.col(x).cast("long").alias("__x"), F.col(y).cast("long").alias("__y"), F.col(value).cast("double").alias("__v"))
+def _grown(holes: DataFrame, full: DataFrame, least: int, most: int) -> DataFrame:
+    """``__b`` (sum, count, radius) of the smallest square with ``least`` full cells around each hole that has one up to radius ``most``: a hole meets the nine tiles of side ``most`` + 1 around it."""
     side = most + 1
-    holes = cells.filter("__v is null or __v = 0").select("__x", "__y").distinct()
     near = holes.withColumn("__i", F.explode(F.array(*[F.floor(F.col("__x") / side) + d for d in (-1, 0, 1)]))).withColumn("__j", F.explode(F.array(*[F.floor(F.col("__y") / side) + d for d in (-1, 0, 1)])))
-    full = cells.filter("__v <> 0").select(F.col("__x").alias("__a"), F.col("__y").alias("__b"), "__v", F.floor(F.col("__x") / side).alias("__i"), F.floor(F.col("__y") / side).alias("__j"))
-    met = near.join(full, ["__i", "__j"]).withColumn("__r", F.greatest(F.abs(F.col("__x") - F.col("__a")), F.abs(F.col("__y") - F.col("__b")))).filter(F.col("__r") <= most)
+    tiled = full.withColumn("__i", F.floor(F.col("__a") / side)).withColumn("__j", F.floor(F.col("__b") / side))
+    met = near.join(tiled, ["__i", "__j"]).withColumn("__r", F.greatest(F.abs(F.col("__x") - F.col("__a")), F.abs(F.col("__y") - F.col("__b")))).filter(F.col("__r") <= most)
     rings = met.groupBy("__x", "__y", "__r").agg(F.sum("__v").alias("__s"), F.count("*").alias("__n"))
     upto = Window.partitionBy("__x", "__y").orderBy("__r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     grown = rings.select("__x", "__y", "__r", F.sum("__s").over(upto).alias("__s"), F.sum("__n").over(upto).alias("__n")).filter(F.col("__n") >= least)
-    best = grown.groupBy("__x", "__y").agg(F.min_by(F.struct(F.col("__s"), F.col("__n"), F.col("__r")), "__r").alias("__b"))
+    return grown.groupBy("__x", "__y").agg(F.min_by(F.struct(F.col("__s"), F.col("__n"), F.col("__r")), "__r").alias("__b"))
+
+
+def neighbourhood_fill(df: DataFrame, x: str, y: str, value: str, least: int = 2, most: int | None = None) -> DataFrame:
+    """Zero or null cells of a grid get the mean of the non-zero ones in the smallest square around them that has at least ``least``, up to radius ``most`` where that is given.
+
+    Without ``most``, cells that radius 8 leaves empty are tried again at twice the radius until all are filled;
+    all stay null only where the grid has fewer than ``least`` non-zero cells.
+    """
+    cells = df.select(F.col(x).cast("long").alias("__x"), F.col(y).cast("long").alias("__y"), F.col(value).cast("double").alias("__v"))
+    holes = cells.filter("__v is null or __v = 0").select("__x", "__y").distinct()
+    full = cells.filter("__v <> 0").select(F.col("__x").alias("__a"), F.col("__y").alias("__b"), "__v")
+    best = _grown(holes, full, least, most or 8)
+    if most is None:
+        best = kept(best)
+        left, reach = kept(holes.join(best, ["__x", "__y"], "left_anti")), 8
+        enough = full.limit(least).count() >= least
+        while enough and left.take(1):
+            reach *= 2
+            more = kept(_grown(left, full, least, reach))
+            best, left = best.unionByName(more), kept(left.join(more, ["__x", "__y"], "left_anti"))
     joined = cells.join(best, ["__x", "__y"], "left")
     empty = F.col("__v").isNull() | (F.col("__v") == 0)
     return joined.select(F.col("__x").alias(x), F.col("__y").alias(y), F.when(empty, F.col("__b.__s") / F.col("__b.__n")).otherwise(F.col("__v")).alias(value), F.when(empty, F.col("__b.__r")).otherwise(F.lit(0)).alias("radius"))

@@ -6,7 +6,7 @@ import datetime as dt
 import random
 
 from helixframe import catalog
-from helixframe.operators import stats
+from helixframe.operators import stats, windows
 
 
 def lines(spark, folder, n=240, seed=5):
@@ -70,3 +70,17 @@ def test_posterior_keeps_every_prior(spark):
     df = spark.range(n).selectExpr("1 as k", "id as h", "1.0d as likelihood")
     got = stats.posterior(df, spark.range(n).selectExpr("id as h", "2.0d as prior"), ["k"], "h", "likelihood")
     assert got.count() == n and abs(got.first()["posterior"] - 1 / n) < 1e-12
+
+
+def test_far_cells_of_a_sparse_grid_are_filled(spark):
+    full = {(0, 0): 4.0, (50, 3): 8.0, (-70, 9): 1.0}
+    holes = [(1, 1), (30, 30), (-40, 0), (200, -90)]
+    df = spark.createDataFrame([(x, y, v) for (x, y), v in full.items()] + [(x, y, 0.0) for x, y in holes], "x long, y long, v double")
+    got = {(r["x"], r["y"]): (r["v"], r["radius"]) for r in windows.neighbourhood_fill(df, "x", "y", "v").collect()}
+    for x, y in holes:
+        far = {k: max(abs(k[0] - x), abs(k[1] - y)) for k in full}
+        radius = sorted(far.values())[1]
+        near = [full[k] for k in full if far[k] <= radius]
+        assert got[x, y] == (sum(near) / len(near), radius)
+    alone = spark.createDataFrame([(0, 0, 4.0), (1, 0, 0.0)], "x long, y long, v double")
+    assert {r["v"] for r in windows.neighbourhood_fill(alone, "x", "y", "v").collect()} == {4.0, None}
