@@ -106,17 +106,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-#: Fixed words that divide the toxic label into the chain's first two categories.
-CATEGORY_WORDS = {
-    "insult": ("idiot", "moron", "loser", "clown", "stupid"),
-    "contempt": ("disgusting", "pathetic", "scum", "trash", "worthless"),
-}
+#: Kinds of toxic text that the chain predicts before toxicity itself: clusters of the toxic training rows.
+KINDS = 3
 
 
 def _toxicity_chain(spark: SparkSession, sf_dir: str):
     from helixframe.llm.toxicity import fit
 
-    return fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), [*CATEGORY_WORDS, "toxic"], CATEGORY_WORDS)
+    return fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ["toxic"], KINDS)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

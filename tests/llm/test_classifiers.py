@@ -54,10 +54,58 @@ def test_out_of_fold_probabilities_differ_from_fitted_ones():
     x, y = rng.integers(0, 2, (60, 20)).astype(float), rng.integers(0, 2, (60, 2)).astype(float)
     a = T.fit_chain(x, y, np.arange(60) % 5, ["a", "b"], {str(i): i for i in range(20)})
     first = T._sigmoid(np.column_stack([x, np.ones(60)]) @ a.weights[0])
-    naive = T._logistic(np.column_stack([x, first, np.ones(60)]), y[:, 1])
+    naive = T._logistic(np.column_stack([x, first, np.ones(60)]), y[:, 1], np.ones(60))
     assert not np.allclose(naive, a.weights[1])
 
 
+def test_equal_rows_count_as_often_as_they_stand():
+    rng = np.random.default_rng(4)
+    x, y = np.repeat(rng.integers(0, 2, (15, 4)).astype(float), 6, axis=0), np.tile(rng.integers(0, 2, 10), 9).astype(float)
+    whole = T._logistic(np.column_stack([x, np.ones(90)]), y, np.ones(90))
+    assert np.allclose(T.fit_chain(x, y[:, None], np.zeros(90), ["a"], {str(i): i for i in range(4)}).weights[0], whole, atol=1e-3)
+
+
+def test_kinds_follow_shared_features():
+    x = np.zeros((30, 9))
+    for i in range(30):
+        group = 0 if i < 15 else 1 if i < 25 else 2
+        x[i, group * 3 + i % 3] = x[i, group * 3 + (i + 1) % 3] = 1
+    kinds = T.kinds_of(np.vstack([x, np.zeros(9)]), 3)
+    assert kinds.tolist() == [0] * 15 + [1] * 10 + [2] * 5 + [-1]
+    assert T.kinds_of(np.zeros((0, 4)), 3).tolist() == [] and set(T.kinds_of(np.ones((2, 4)), 3)) <= {0, 1}
+
+
+@pytest.fixture(scope="module")
+def halves(spark):
+    """Labelled documents of sf0.1: an even id trains, an odd one is held out."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    seen = docs.join(labels.filter("doc_id % 2 = 0").select("doc_id"), "doc_id").select("text")
+    held = docs.join(labels.filter("doc_id % 2 = 1"), "doc_id").join(seen.distinct(), "text", "left_anti")  # no copies of training texts
+    return docs, labels.filter("doc_id % 2 = 0"), held.cache()
+
+
+def tally(out, held):
+    rows = out.select("doc_id", "toxic").join(held.select("doc_id", F.col("toxic").alias("y"), "quality", "lang"), "doc_id").collect()
+    told = lambda some: (sum(r["toxic"] for r in some if r["y"]), sum(1 for r in some if r["y"]))
+    return told([r for r in rows if r["quality"] and r["lang"] == "en"]), told([r for r in rows if r["quality"] and r["lang"] != "en"]), sum(r["toxic"] for r in rows if not r["y"]), sum(1 for r in rows if not r["y"])
+
+
+def test_chain_on_held_out_documents_of_all_languages(spark, halves):
+    """No word of the corpus is in the code. Documents of low quality are left out of recall: their words are replaced by junk, and labels stay."""
+    docs, labels, held = halves
+    chain = T.fit(docs, labels, ["toxic"], kinds=3)
+    assert chain.categories == ("kind_1", "kind_2", "kind_3", "toxic")
+    english, others, wrong, clean = tally(T.score(held, chain), held)
+    assert english[0] >= 0.97 * english[1] and others[0] >= 0.7 * others[1], (english, others)
+    assert wrong <= 0.01 * clean
+    lone = T.fit(docs, labels, ["toxic"])
+    assert len(lone.weights) == 1
+    english_1, others_1, wrong_1, _ = tally(T.score(held, lone), held)
+    assert english[0] + others[0] - wrong >= english_1[0] + others_1[0] - wrong_1 - 2  # earlier categories cost nothing
+    print("chain", english, others, wrong, clean, "lone", english_1, others_1, wrong_1)
+    assert np.abs(chain.weights[-1][len(chain.vocabulary) : -1]).max() > 0.1  # and the last model uses them
+
+
 def test_toxicity_without_usable_labels_rejects_nothing(spark, toxic):
     docs, labels = toxic
     for some in (labels.limit(0), labels.filter("toxic = 0")):
