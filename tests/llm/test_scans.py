@@ -34,50 +34,111 @@ def tagger():
     return pii.train()
 
 
-def test_network_generalises_to_held_out_windows(tagger):
-    rng = np.random.default_rng(77)
-    rows = [pii.labelled(rng) for _ in range(400)]
-    x, y = np.stack([r[0] for r in rows]), np.stack([r[1] for r in rows])
-    tags, sure = tagger.decode(x)
-    assert ((tags > 0) == (y > 0)).mean() > 0.97
-    assert (sure >= 0).all() and (sure <= 1 + 1e-6).all()
+def test_held_out_spans_with_exact_boundaries(tagger):
+    """Texts of another seed than the training's: recall and precision of each kind, where both ends must be right."""
+    maker, n, hit, got = pii.Maker(4711), np.zeros(5), np.zeros(5), np.zeros(5)
+    for _ in range(30):
+        text, tags = maker.text(4000)
+        tags = np.array(tags)
+        gold = {(k, a, b) for k, a, b, _ in pii._spans(tags, np.ones(len(tags)), len(tags)) if pii.counted(k, text[a:b])}
+        found = {s for s in pii.tag([text], tagger)[0] if pii.counted(s[0], text[s[1] : s[2]])}
+        for k in range(5):
+            n[k] += sum(s[0] == k for s in gold)
+            got[k] += sum(s[0] == k for s in found)
+            hit[k] += sum(s[0] == k for s in gold & found)
+    assert (n > 30).sum() >= 4
+    assert (hit >= 0.9 * n).all(), hit / n
+    assert (hit >= 0.9 * got).all(), hit / got
+
+
+def test_spans_of_the_documents(tagger, sf_dir):
+    """On the driver's own texts the network adds what the base patterns run together, finds nearly all secrets, and little else."""
+    import duckdb
+
+    texts = [r[0] or "" for r in duckdb.sql("select text from '/root/testdata/sf0.1/documents.parquet' order by doc_id").fetchall()]
+    planted = re.compile(r'password=([0-9a-f]{18})\b|token = "([0-9a-f]{40})"|\b(AKIA[A-Z0-9]{16})\b', re.I)
+    want, found, added, odd = 0, 0, 0, 0
+    for text, (_, more, secrets) in zip(texts, pii.find(texts, tagger), strict=True):
+        gold = {(pii.SECRET, *m.span(m.lastindex)) for m in planted.finditer(text)}
+        want, found, added, odd = want + len(gold), found + len(gold & set(secrets)), added + len(more), odd + len(set(secrets) - gold)
+    assert want > 100 and found >= 0.95 * want and odd <= 0.02 * want + 2
+    assert added > 0
+
+
+def test_disguised_forms(tagger):
+    cases = [
+        ("call 555-123-4567 now", "555-123-4567"), ("ring 0044 123 456789 today", "0044 123 456789"), ("pay 4111.1111.1111.1111 please", "4111.1111.1111.1111"), ("pay 4111  1111  1111  1111 please", "4111  1111  1111  1111"),
+        ("from 10[.]0[.]0[.]12 now", "10[.]0[.]0[.]12"), ("bob.smith (at) example [dot] com today", "bob.smith (at) example [dot] com"), ("call +1 (269) 555-3296 4524132264652876 and", "4524132264652876"),
+    ]
+    found = pii.find([text for text, _ in cases], tagger)
+    assert sum(piece in {text[a:b] for _, a, b in added} for (text, piece), (_, added, _) in zip(cases, found, strict=True)) >= 6
+    (_, added, secrets), = pii.find(["of 2021-03-04 at 12:30 see version 2.0.1 for $12.50 and 9f86d081884c7d65, 12 of 30"], tagger)
+    assert not added and not secrets
+
+
+def test_a_long_disguised_email_is_whole_at_every_offset(tagger):
+    long = "christopher.montgomery.featherstonehaugh (at) internationalbusinesssolutions (dot) example.com"
+    word = "plain words stand here and then some more of them "
+    texts = [(word * 4)[: 100 + n].rsplit(" ", 1)[0] + " " + long + " and " + word * 3 for n in range(pii.STEP)]
+    found = pii.find(texts, tagger)
+    assert sum(long in {t[a:b] for _, a, b in added} for t, (_, added, _) in zip(texts, found, strict=True)) >= 0.9 * len(texts)
 
 
 def test_viterbi_equals_exhaustive_search():
     import itertools
 
     rng = np.random.default_rng(1)
-    scores, trans = rng.normal(0, 1, (4, 3, pii.TAGS)), rng.normal(0, 1, (pii.TAGS, pii.TAGS))
-    tags = pii._viterbi(scores, trans)
-    z, _, _ = pii._marginals(scores, trans)
+    scores, trans, sizes = rng.normal(0, 1, (4, 3, pii.TAGS)), rng.normal(0, 1, (pii.TAGS, pii.TAGS)), np.array([4, 2, 3])
+    tags = pii._viterbi(scores, trans, sizes)
+    z, p, _ = pii._marginals(scores, trans, sizes)
     for n in range(3):
-        total = {p: sum(scores[t, n, k] for t, k in enumerate(p)) + sum(trans[a, b] for a, b in itertools.pairwise(p)) for p in itertools.product(range(pii.TAGS), repeat=4)}
-        assert tuple(tags[n]) == max(total, key=total.get)
+        total = {p: sum(scores[t, n, k] for t, k in enumerate(p)) + sum(trans[a, b] for a, b in itertools.pairwise(p)) for p in itertools.product(range(pii.TAGS), repeat=int(sizes[n]))}
+        assert tuple(tags[n, : sizes[n]]) == max(total, key=total.get)
         assert z[n] == pytest.approx(np.log(sum(np.exp(v) for v in total.values())))
+        first = sum(np.exp(v) for q, v in total.items() if q[0] == 2) / sum(np.exp(v) for v in total.values())
+        assert p[0, n, 2] == pytest.approx(first)
+
+
+def test_reconciliation_equals_one_window_at_a_time(tagger):
+    """Blended scores and the path over the whole stretch, against plain loops without batches or padding."""
+    maker = pii.Maker(31)
+    texts = [maker.text(n)[0][:n] for n in (40, 96, 97, 300, 701)]
+    scored = pii.blended([pii.codes(t) for t in texts], tagger)
+    for text, got in zip(texts, scored, strict=True):
+        x = pii.codes(text)
+        starts = [0] if len(x) <= pii.WINDOW else sorted({min(s, len(x) - pii.WINDOW) for s in range(0, len(x), pii.STEP)})
+        total, weight = np.zeros((len(x), pii.TAGS)), np.zeros(len(x))
+        for s in starts:
+            piece = np.full(pii.WINDOW, 32)
+            piece[: len(x[s : s + pii.WINDOW])] = x[s : s + pii.WINDOW]
+            scores = tagger.scores(piece[None])[:, 0]
+            for t in range(min(pii.WINDOW, len(x) - s)):
+                w = min(t + 1, pii.WINDOW - t)
+                total[s + t] += w * scores[t]
+                weight[s + t] += w
+        assert np.allclose(got, total / weight[:, None], atol=1e-3)
+    for got, alone in zip(pii.decoded(scored, tagger), scored, strict=True):
+        tags = pii._viterbi(alone[:, None], tagger.trans)[0]
+        assert [s[:3] for s in got] == [s[:3] for s in pii._spans(tags, np.ones(len(tags)), len(tags))]
 
 
 def test_added_spans_are_disguised_and_stay_off_the_base(tagger):
     text = "word " * 60 + "mail bob.smith (at) mail [dot] example.com now or 10[.]0[.]0[.]12 then a.b@c.de " + "word " * 60 + "on 2024-01-02 for $12.50"
-    (base, added), = pii.find([text], tagger)
+    (base, added, _), = pii.find([text], tagger)
     assert base == plain(text)
     assert {text[a:b] for _, a, b in added} >= {"10[.]0[.]0[.]12"}
     assert all(b <= c or d <= a for _, a, b in base for _, c, d in added)
 
 
-def test_reconcile_takes_the_heaviest_set():
-    assert pii.reconcile([(0, 0, 10, 0.9), (1, 5, 8, 1.0), (1, 8, 30, 0.5), (1, 8, 30, 0.6)]) == [(1, 5, 8), (1, 8, 30)]
-    assert pii.reconcile([]) == []
-
-
 def test_scan_of_odd_rows(spark, tagger):
-    rows = [(1, "x@y.zz"), (1, "x@y.zz"), (None, None), (2, ""), (3, "1" * 300_000 + "@"), (4, "a" * 300_000 + "@b.cc é x@y.zz")]
+    rows = [(1, "x@y.zz"), (1, "x@y.zz"), (None, None), (2, ""), (3, "1" * 20_000 + "@"), (4, "a" * 300_000 + "@b.cc é x@y.zz"), (5, "7" * 300_000)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string")
     got = pii.scan(df, tagger)
-    assert got.columns[:7] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    assert got.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_secret", "secrets", "n_found"]
     by_id = {r["doc_id"]: r for r in got.collect()}
     for i, text in rows:
-        want = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in plain(text or "") if len(text or "") < 1000 or k == 0) if i != 4 else "email:0:300005,email:308:314"
-        assert by_id[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() or i == 4 and by_id[4]["n_email"] == 2
+        want = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in plain(text or "") if len(text or "") < 1000 or k == 0) if i not in (4, 5) else "email:0:300005,email:300008:300014" if i == 4 else ""
+        assert by_id[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
     assert pii.scan(df.limit(0), tagger).count() == 0
 
 
