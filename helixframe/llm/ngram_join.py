@@ -1,12 +1,13 @@
 """Self-join of documents on the Jaccard similarity of their word n-gram sets, by MinHash banding.
 
 Documents with the same n-gram set are one class representative. Band hashes
-are the shuffle key that brings candidates together; each bucket gives only
-edges to its least member, and what they connect is verified on full n-gram
-sets, so every pair that shares a band is compared. A large candidate
-component is cut into cells by set size (two sets at similarity t differ in
-size by at most 1/t) and by hash, and pairs of cells are verified one task
-each. A task returns sums and a spanning star, never pairs.
+are the shuffle key that brings candidates together. A bucket names its least
+member; representatives that lead to the same least one share a cell, and two
+cells meet only where a bucket has members in both, so every pair that shares a
+band is compared on full n-gram sets, and a chain of unlike texts costs what its
+links cost. A cell over its bounds is cut, first along its buckets and then by hash. A task returns sums and a spanning
+star, never pairs. N-grams are held as 64-bit hashes: two unlike sets agree
+in an n-gram by accident about once in 10^19 pairs of n-grams.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import lookup, small_batches, text_of, written
@@ -202,69 +203,67 @@ def _verify(threshold: float):
     return run
 
 
-def _tasks(members: DataFrame, threshold: float, cell_docs: int, cell_grams: int) -> DataFrame:
-    """``members`` (fp, copies, rep, grams, root) with ``tasks``: the (task, side) in which each takes part.
+def _led(pairs: DataFrame) -> DataFrame:
+    """(fh, lead) with each lead replaced by its own lead: a pointer jump. Keys are derived anew, so that a lead with very many followers can be split."""
+    further = pairs.select(F.bitwise_not("fh").alias("met"), F.col("lead").alias("next"))
+    return pairs.withColumn("to", F.bitwise_not("lead")).join(further, F.col("to") == F.col("met")).select("fh", F.col("next").alias("lead"))
 
-    A component within one cell's bounds is one task. In a larger one, members of one size class are dealt to cells by hash,
-    and each cell meets the cells of its own class and of the two next to it.
-    """
-    whole = written(members.groupBy("root").agg(F.count("*").alias("r_docs"), F.sum("grams").alias("r_grams")), "join-components")
-    marked = lookup(members, whole, "root", "r_docs").withColumn("klass", F.floor(F.log(F.col("grams").cast("double")) / F.lit(math.log(1 / threshold))).cast("long"))
-    small = (F.col("r_docs") <= cell_docs) & (F.col("r_grams") <= cell_grams)
-    one = marked.filter(small).withColumn("tasks", F.array(F.struct(F.col("root").alias("task"), F.lit(0).alias("side"))))
-    large = marked.filter(~small).withColumn("cellkey", F.concat_ws(":", "root", F.col("klass").cast("string")))
-    counts = F.greatest(F.ceil(F.count("*") / F.lit(cell_docs)), F.ceil(F.sum("grams") / F.lit(cell_grams))).cast("int")
-    sizes = written(large.groupBy("root", "klass").agg(F.count("*").alias("k_docs"), counts.alias("cells")), "join-cells")
-
-    def near(step: int, name: str) -> DataFrame:
-        return sizes.select("root", (F.col("klass") + step).alias("klass"), F.col("cells").alias(name))
-
-    around = sizes.withColumnRenamed("cells", "own").join(near(1, "lower"), ["root", "klass"], "left").join(near(-1, "upper"), ["root", "klass"], "left")
-    keyed = around.select(F.concat_ws(":", "root", F.col("klass").cast("string")).alias("cellkey"), "k_docs", "own", "lower", "upper")
-    placed = lookup(large, keyed, "cellkey", "k_docs")
-    placed = placed.withColumn("cell", F.pmod(F.xxhash64("fp"), F.col("own")).cast("int"))
-
-    def named(c1: Column, n1: Column, c2: Column, n2: Column) -> Column:
-        return F.concat_ws(":", F.col("root"), c1.cast("string"), n1.cast("string"), c2.cast("string"), n2.cast("string"))
 
-    def cells(n: Column) -> Column:
-        return F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+def _cells(reps: DataFrame, bucketed: DataFrame, cell_docs: int, cell_grams: int) -> DataFrame:
+    """Representatives that share a bucket with another (fp, fh, copies, pick), each with its ``cell``.
 
-    k, cell = F.col("klass"), F.col("cell")
-    own = F.transform(cells(F.col("own")), lambda j: F.struct(named(k, F.least(cell, j), k, F.greatest(cell, j)).alias("task"), F.when(cell < j, 1).when(cell > j, 2).otherwise(0).alias("side")))
-    upper = F.transform(cells(F.col("upper")), lambda j: F.struct(named(k, cell, k + 1, j).alias("task"), F.lit(1).alias("side")))
-    lower = F.transform(cells(F.col("lower")), lambda j: F.struct(named(k - 1, j, k, cell).alias("task"), F.lit(2).alias("side")))
-    many = placed.withColumn("tasks", F.concat(own, upper, lower))
-    columns = ["fp", "copies", "rep", "tasks"]
-    return one.select(*columns).unionByName(many.select(*columns))
+    The cell is where two jumps along least members lead, if that many fit in a cell; else where one does; else a part of that by hash.
+    """
+    near = written(bucketed.groupBy("fh").agg(F.min("least").alias("lead")), "join-leads")
+    wide = _led(_led(near)).withColumnRenamed("lead", "wide")
+    led = near.withColumnRenamed("lead", "near").join(wide, "fh")
+    members = written(reps.select("fp", F.xxhash64("fp").alias("fh"), "copies", "pick", "grams").join(led, "fh"), "join-led")
+    parts = F.greatest(F.ceil(F.count("*") / F.lit(cell_docs)), F.ceil(F.sum("grams") / F.lit(cell_grams))).cast("long")
+    sized = written(members.groupBy("wide").agg(F.count("*").alias("w_docs"), parts.alias("w_parts")), "join-wide")
+    placed = written(lookup(members, sized, "wide", "w_docs").withColumn("near", F.xxhash64("wide", F.when(F.col("w_parts") > 1, F.col("near")))), "join-near")
+    sized = written(placed.groupBy("near").agg(F.count("*").alias("n_docs"), parts.alias("n_parts")), "join-sizes")
+    cut = lookup(placed.select("fp", "fh", "copies", "pick", "near"), sized, "near", "n_docs")
+    return written(cut.select("fp", "fh", "copies", "pick", F.xxhash64("near", F.pmod(F.xxhash64("fp"), "n_parts")).alias("cell")), "join-members")
+
+
+def _tasks(members: DataFrame, bucketed: DataFrame) -> DataFrame:
+    """``members`` with ``tasks``: the (task, side) in which each takes part. A cell is a task, and so are two cells that a bucket joins."""
+    meet = bucketed.select("fh", "key").join(members.select("fh", "cell"), "fh").groupBy("key").agg(F.collect_set("cell").alias("cells")).filter(F.size("cells") > 1)
+    pairs = meet.select("cells", F.explode("cells").alias("a")).select("a", F.explode(F.filter("cells", lambda c: c > F.col("a"))).alias("b")).distinct()
+    pairs = written(pairs, "join-cells")
+    cross = F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string"))
+    own = members.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell", F.col("cell").cast("string").alias("task"), F.lit(0).alias("side"))
+    either = own.union(pairs.select(F.col("a").alias("cell"), cross.alias("task"), F.lit(1).alias("side"))).union(pairs.select(F.col("b").alias("cell"), cross.alias("task"), F.lit(2).alias("side")))
+    return members.join(either.groupBy("cell").agg(F.collect_list(F.struct("task", "side")).alias("tasks")), "cell")
 
 
 def _solve(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float, recall: float, cell_docs: int, cell_grams: int) -> tuple[DataFrame, DataFrame]:
-    """(id, th, fp) of each row, and (fp, copies, class_id, class_size, links) of each distinct n-gram set."""
+    """(id, th, fp) of each row, and (fp, copies, class_id, class_size, links, kept) of each distinct n-gram set; ``kept`` is (null id, id, text hash) of its class's first row."""
     bands, rows = band_shape(threshold, recall)
     source = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).select("id", F.xxhash64("text").alias("th"), "text")
     signed = written(source.mapInArrow(_sign(words, bands, rows, 7), "id long, th long, fp string, grams long, bands array<long>"), "join-signed")
-    reps = written(signed.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands")), "join-reps")
-    keys = reps.select("fp", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least <> most")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "th")).alias("pick")
+    reps = written(signed.groupBy("fp").agg(first, F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands")), "join-reps")
+    keys = reps.select(F.xxhash64("fp").alias("fh"), F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("fh").alias("least"), F.max("fh").alias("most")).filter("least <> most")
     shared = shared.select(F.bitwise_not("key").alias("met"), "least")  # a key of its own, so that a bucket with very many members can be split
-    edges = keys.join(shared, F.bitwise_not("key") == F.col("met")).filter("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
-    stars = components(edges, "join-candidates")
-    nodes = stars.select(F.col("node").alias("fp"), "root").union(stars.select(F.col("root").alias("fp"), "root").distinct())
-    members = written(reps.drop("bands").join(nodes, "fp"), "join-members")
-    tasks = _tasks(members, threshold, cell_docs, cell_grams)
-    texts = tasks.join(source.select("id", "text"), F.col("rep").eqNullSafe(F.col("id"))).select("fp", "copies", "tasks", "text")
+    bucketed = written(keys.join(shared, F.bitwise_not("key") == F.col("met")).select("fh", "key", "least"), "join-buckets")
+    members = _cells(reps, bucketed, cell_docs, cell_grams)
+    tasks = _tasks(members, bucketed).select("fp", "copies", F.col("pick.id").alias("p_id"), F.col("pick.th").alias("p_th"), "tasks")
+    # one text for each id and text hash: repeated rows, and null ids with one text, are brought together before they meet
+    texts = source.groupBy("id", "th").agg(F.first("text").alias("text"))
+    texts = tasks.join(texts, F.col("p_id").eqNullSafe(F.col("id")) & (F.col("p_th") == F.col("th"))).select("fp", "copies", "tasks", "text")
     sets = texts.mapInArrow(_sets(words), "fp string, copies long, tasks array<struct<task:string,side:int>>, grams binary")
     work = sets.withColumn("t", F.explode("tasks")).select(F.col("t.task").alias("task"), "fp", F.col("t.side").alias("side"), "copies", "grams")
     found = work.repartition("task").sortWithinPartitions("task").mapInArrow(_verify(threshold), "fp string, links long, root string")
     found = written(found, "join-links")
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("fp").alias("u"), F.col("root").alias("v")), "join-classes")
-    classed = reps.select("fp", "rep", "copies").join(links, "fp", "left").join(joined.withColumnRenamed("node", "fp"), "fp", "left")
+    classed = reps.select("fp", "rep", "pick", "copies").join(links, "fp", "left").join(joined.withColumnRenamed("node", "fp"), "fp", "left")
     classed = classed.withColumn("root", F.coalesce("root", "fp")).withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
     classed = written(classed, "join-classed")
-    whole = written(classed.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("members")), "join-whole")
-    return signed.select("id", "th", "fp"), written(lookup(classed, whole, "root", "members").select("fp", "copies", "class_id", "class_size", "links"), "join-done")
+    whole = written(classed.groupBy("root").agg(F.min("rep").alias("class_id"), F.min("pick").alias("kept"), F.sum("copies").alias("class_size"), F.count("*").alias("members")), "join-whole")
+    return signed.select("id", "th", "fp"), written(lookup(classed, whole, "root", "members").select("fp", "copies", "class_id", "class_size", "links", "kept"), "join-done")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, cell_docs: int = CELL_DOCS, cell_grams: int = CELL_GRAMS) -> DataFrame:
@@ -273,17 +272,32 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     Two documents are linked if their n-gram sets have a Jaccard similarity of at least ``threshold``;
     a class is what links connect, and ``n_links`` counts the other rows linked to this one, copies included.
     Texts with no words (null, empty, white space) are copies of each other and like nothing else. Repeated rows are copies.
-    A row with a null id has a class like any other; ``class_id`` is null only if all its ids are.
-    An empty table gives no rows. Other columns are ignored, whatever their names.
+    A row with a null id has a class like any other; ``class_id`` is null only if all its ids are. Whole texts
+    count, however long. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     rows, done = _solve(docs, id_col, text_col, words, threshold, recall, cell_docs, cell_grams)
-    out = lookup(rows, done, "fp", "copies")
+    out = lookup(rows, done.select("fp", "copies", "class_id", "class_size", "links"), "fp", "copies")
     return out.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("links").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that stay, one document of each class (the least id), with all columns of ``docs``; rows with a null id stay."""
+    """The rows that stay, with all columns of ``docs``: one row of each class, the one with the least id, and of rows with null ids, which come after the others, the one with the least text hash.
+
+    Of rows that agree in id and text any one stays. Null and empty texts are one class; an empty table gives no rows; column names are free.
+    """
     rows, done = _solve(docs, id_col, text_col, words, threshold, RECALL, CELL_DOCS, CELL_GRAMS)
-    out = lookup(rows, done.filter("class_size > 1").select("fp", "copies", "class_id"), "fp", "copies")
-    gone = out.filter((F.col("id") != F.col("class_id"))).select(F.col("id").alias("__gone"), F.col("th").alias("__th"))
-    return docs.join(gone, (F.col(id_col) == F.col("__gone")) & (F.xxhash64(text_of(text_col)) == F.col("__th")), "left_anti")
+    marked = lookup(rows, done.filter("class_size > 1").select("fp", "copies", "kept"), "fp", "copies").filter("kept is not null")
+    first = F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("th") == F.col("kept.th"))
+    drop = written(marked.groupBy("id", "th").agg(F.count("*").alias("n"), F.first(~first).alias("gone")).filter("gone or n > 1"), "join-gone")
+
+    def same(some: DataFrame):
+        return docs[id_col].cast("long").eqNullSafe(some["id"]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == some["th"])
+
+    once = docs.join(drop, same(drop), "left_anti")
+    repeated = drop.filter("not gone")
+    if not repeated.take(1):
+        return once
+    again = docs.join(repeated, same(repeated), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = again.groupBy(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_of(text_col)).alias("__th")).agg(F.first(row).alias("__row"))
+    return once.unionByName(again.select("__row.*"))

@@ -72,6 +72,56 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     assert N.keep_one(df.limit(0)).count() == 0
 
 
+def test_one_row_stays_whatever_the_ids(spark):
+    same, other = "a b c d e f g", "h i j k l m n"
+    rows = [(None, same, "p"), (None, same, "q"), (4, same, "r"), (4, same, "s"), (9, same, "t"), (None, other, "u"), (None, other, "v"), (7, "alone here", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in N.keep_one(df).collect()), key=str)
+    assert kept == sorted([(4, same), (None, other), (7, "alone here")], key=str)
+
+
+def chain(n, size=60):
+    """Texts of which each shares nine tenths of its words with the next, and little with those further on."""
+    words = [f"c{i}" for i in range(n * 5 + size)]
+    return [(i, " ".join(words[i * 5 : i * 5 + size])) for i in range(n)]
+
+
+def test_a_long_chain_costs_what_its_links_cost(spark):
+    """Members of one connected chain meet in few cells each, so rows for verification grow with the chain's length."""
+    rows_a_member = []
+    for n in (300, 1200):
+        docs = spark.createDataFrame(chain(n), "doc_id long, text string").repartition(8)
+        bands, rows = N.band_shape(0.8, N.RECALL)
+        signed = docs.selectExpr("doc_id id", "xxhash64(text) th", "text").mapInArrow(N._sign(5, bands, rows, 7), "id long, th long, fp string, grams long, bands array<long>")
+        reps = signed.selectExpr("fp", "xxhash64(fp) fh", "1L copies", "struct(false unnamed, id, th) pick", "grams", "bands").cache()
+        keys = reps.selectExpr("fh", "explode(bands) key")
+        bucketed = keys.join(keys.groupBy("key").agg(N.F.min("fh").alias("least"), N.F.count("*").alias("n")).filter("n > 1").drop("n"), "key").select("fh", "key", "least")
+        tasks = N._tasks(N._cells(reps.drop("fh"), bucketed, 16, N.CELL_GRAMS), bucketed)
+        rows_a_member.append(tasks.selectExpr("sum(size(tasks))").first()[0] / n)
+    assert rows_a_member[1] < 1.3 * rows_a_member[0] and rows_a_member[1] < 8, rows_a_member
+    rows = chain(300)
+    assert sorted(tuple(r) for r in N.join(spark.createDataFrame(rows, "doc_id long, text string"), cell_docs=16).collect()) == brute(rows)
+
+
+def test_many_null_ids_take_time_in_proportion(spark):
+    import time
+
+    took = []
+    for n in (200, 2000):
+        df = spark.createDataFrame([(None, " ".join(f"w{i // 2}x{j}" for j in range(30))) for i in range(n)], "doc_id long, text string")
+        start = time.perf_counter()
+        assert N.join(df).filter("n_links = 1").count() == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 4 * took[0] + 2, took
+
+
+def test_very_long_and_repeated_texts(spark):
+    long = " ".join(f"v{i}" for i in range(150_000))
+    rows = [(1, long), (2, long + " end"), (2, long + " end"), (3, "short one")]
+    got = sorted(tuple(r) for r in N.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 3, 2), (2, 1, 3, 2), (2, 1, 3, 2), (3, 3, 1, 0)]
+
+
 def test_bands_reach_the_recall():
     for t in (0.5, 0.8, 0.9):
         bands, rows = N.band_shape(t, 0.999)
