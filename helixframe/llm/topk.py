@@ -2,8 +2,8 @@
 
 Vectors are turned into integers, rotated onto the eigenvectors of their
 second-moment matrix (the right singular vectors of the table), and sorted by
-descending length into blocks. A query block meets a candidate block in one
-task. There the inner product is summed over the leading rotated coordinates
+descending length into blocks. A candidate block is placed in a task once and
+query blocks stream past it. There the inner product is summed over the leading rotated coordinates
 first; by Cauchy-Schwarz the rest adds at most the product of the residual
 lengths, so a candidate whose partial sum plus that bound stays under the
 query's k-th score so far is dropped. What is left is scored in integers.
@@ -11,6 +11,7 @@ query's k-th score so far is dropped. What is left is scored in integers.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,10 @@ from pyspark.sql import types as T
 
 from helixframe.llm.common import written
 
-#: Vectors in a candidate block and in a query block; a task holds one of each.
-CANDIDATES, QUERIES = 8192, 1024
+#: Vectors in a candidate block and in a query block; a task holds one of each. Fewer where vectors are so long that a block would have more bytes.
+CANDIDATES, QUERIES, BLOCK_BYTES = 8192, 1024, 16 << 20
+#: Tasks that candidate blocks are spread over at least, by repeating them for shares of the query blocks.
+TASKS = 48
 #: Shares of the rotated coordinates after which partial sums are held against the floors, and candidates at a time.
 STAGES, CHUNK = (0.375, 0.75), 2048
 #: Rotated sums are floats; bounds are widened by this share of the two lengths.
@@ -58,18 +61,19 @@ def rotation(vectors: DataFrame, width: int) -> np.ndarray:
     return turned[:, np.argsort(-values)]
 
 
+def _block(kind: str):
+    def made(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["norm", "vec_id"], ascending=[False, True])
+        vectors = np.stack(pdf["v"].to_numpy()).astype(kind)
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "longest": [float(pdf["norm"].iloc[0])], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [vectors.tobytes()]})
 
-
-def _block(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["norm", "vec_id"], ascending=[False, True])
-    vectors = np.stack(pdf["v"].to_numpy()).astype(np.int64)
-    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "longest": [float(pdf["norm"].iloc[0])], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [vectors.tobytes()]})
+    return made
 
 
 BLOCK = "block long, longest double, ids binary, vectors binary"
 
 
-def blocks(vectors: DataFrame, size: int, total: int) -> tuple[DataFrame, int]:
+def blocks(vectors: DataFrame, size: int, total: int, kind: str = "<i8") -> tuple[DataFrame, int]:
     """Rows of packed vectors and one more than the largest block number; numbered by descending length: ranges of the norm, and within each range parts of at most about ``size``."""
     parts = max(1, -(-total // size))
     numbers = 1
@@ -86,7 +90,7 @@ def blocks(vectors: DataFrame, size: int, total: int) -> tuple[DataFrame, int]:
         widest = max(max(1, -(-n // size)) for n in counts.values())
         numbers = (max(counts) + 1) * widest
         ranged = vectors.withColumn("l", level).withColumn("block", (F.col("l") * widest + F.pmod(F.xxhash64("vec_id"), splits[F.col("l")])).cast("long")).drop("l")
-    return ranged.groupBy("block").applyInPandas(_block, BLOCK), numbers
+    return ranged.groupBy("block").applyInPandas(_block(kind), BLOCK), numbers
 
 
 def score_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, turn: np.ndarray, k: int, floors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -141,17 +145,25 @@ def score_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarr
             yield n, ids, scores
 
 
-def _vectors(raw: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(raw, np.int64).reshape(-1, width)
+def _vectors(raw: bytes, width: int, kind: str) -> np.ndarray:
+    return np.frombuffer(raw, kind).reshape(-1, width).astype(np.int64)
+
 
+def _pairs(turn: np.ndarray, k: int, width: int, kind: str):
+    """Rows come by block, the candidates of a block first; each query block after them is scored and let go."""
 
-def _pairs(turn: np.ndarray, k: int, width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, c_ids, c = None, np.empty(0, np.int64), np.empty((0, width), np.int64)
         for frame in frames:
             for row in frame.itertuples(index=False):
-                q_ids, c_ids = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.ids, np.int64)
+                if not row.asks:
+                    now, c_ids, c = (row.block, row.part), np.frombuffer(row.ids, np.int64), _vectors(row.vectors, width, kind)
+                    continue
+                if now != (row.block, row.part):
+                    raise RuntimeError("a query block came before its candidates")
+                q_ids = np.frombuffer(row.ids, np.int64)
                 out: tuple[list, list, list] = ([], [], [])
-                for n, ids, scores in score_block(q_ids, _vectors(row.q_vectors, width), c_ids, _vectors(row.vectors, width), turn, k, np.frombuffer(row.floors, np.float64)):
+                for n, ids, scores in score_block(q_ids, _vectors(row.vectors, width, kind), c_ids, c, turn, k, np.frombuffer(row.floors, np.float64)):
                     out[0].append(np.full(len(ids), q_ids[n]))
                     out[1].append(ids)
                     out[2].append(scores)
@@ -161,15 +173,15 @@ def _pairs(turn: np.ndarray, k: int, width: int):
     return run
 
 
-def _first(head, turn: np.ndarray, k: int, width: int):
+def _first(head, turn: np.ndarray, k: int, width: int, kind: str):
     """Floors of each query block: the k-th scores within the block of the longest vectors, and the least score over length, under which a shorter block cannot matter."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c_ids, c = np.frombuffer(head.value[0], np.int64), _vectors(head.value[1], width)
+        c_ids, c = np.frombuffer(head.value[0], np.int64), _vectors(head.value[1], width, kind)
         for frame in frames:
             floors, reach = [], []
             for row in frame.itertuples(index=False):
-                q_ids, q = np.frombuffer(row.q_ids, np.int64), _vectors(row.q_vectors, width)
+                q_ids, q = np.frombuffer(row.q_ids, np.int64), _vectors(row.q_vectors, width, kind)
                 found = np.full(len(q_ids), -np.inf)
                 for n, ids, scores in score_block(q_ids, q, c_ids, c, turn, k, found):
                     if len(ids) >= k:
@@ -188,36 +200,43 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_c
     Ties go to the smaller id. Vectors that are null or hold null, NaN or infinite
     components take no part, nor do rows with a null id. A query's own rows are those
     with its id; a repeated candidate row counts once for each time it stands there, a
-    query id that repeats is one query if its vectors agree. Vectors must have one
-    length; those of another length than the most common one take no part. An
-    empty table gives no rows.
+    query id that repeats is one query if its vectors agree. A query meets the vectors of its own
+    length (number of components); each length is a search of its own. Vectors without components take no part. An
+    empty table gives no rows. Other columns are ignored, whatever their names.
     """
     spark = rows.sparkSession
     wanted = rows.select(F.col(id_col).cast("long").alias("vec_id"), integers(vector_col, scale).alias("v"), is_query.alias("is_query"))
     wanted = wanted.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
     result = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
-    widths = wanted.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    if widths is None:
+    most = F.max(F.greatest(F.abs(F.array_max("v")), F.abs(F.array_min("v"))))
+    widths = wanted.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n"), F.count_if("is_query").alias("asked"), most.alias("most")).orderBy("w").collect()  # a row for each length
+    found = [_search(wanted.filter(F.size("v") == w["w"]), w["w"], w["n"], "<i4" if w["most"] < 1 << 31 else "<i8", k, candidates, queries) for w in widths if w["asked"]]
+    if not found:
         return spark.createDataFrame([], result)
-    width, total = int(widths[0]), int(widths[1])
-    vectors = wanted.filter(F.size("v") == width).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return functools.reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(wanted: DataFrame, width: int, total: int, kind: str, k: int, candidates: int, queries: int) -> DataFrame:
+    """query_id, vec_id and score of what may be among the best, for vectors of one length."""
+    spark, bytes_each = wanted.sparkSession, width * np.dtype(kind).itemsize
+    candidates, queries = (max(1, min(n, BLOCK_BYTES // bytes_each)) for n in (candidates, queries))
+    vectors = wanted.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
     turn = rotation(vectors, width)
-    packed, numbers = blocks(vectors.select("vec_id", "v", "norm"), candidates, total)
+    packed, numbers = blocks(vectors.select("vec_id", "v", "norm"), candidates, total, kind)
     packed = written(packed, "topk-blocks")
     asked = vectors.filter("is_query").select("vec_id", "v", "norm").dropDuplicates(["vec_id", "v"])
-    n_asked = asked.count()
-    if not n_asked:
-        return spark.createDataFrame([], result)
-    made, _ = blocks(asked, queries, n_asked)
+    made, _ = blocks(asked, queries, asked.count(), kind)
     renamed = made.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    # every query block first meets the block of the longest vectors (one block, whatever the table's size), which sets its floors
+    # every query block first meets the block of the longest vectors (one block of bounded bytes, whatever the table's size), which sets its floors
     longest = packed.orderBy(F.desc("longest"), "block").select("ids", "vectors").first()
     head = spark.sparkContext.broadcast((bytes(longest[0]), bytes(longest[1])))
-    floored = written(renamed.mapInPandas(_first(head, turn, k, width), "q_block long, q_ids binary, q_vectors binary, floors binary, reach double"), "topk-queries")
-    # pairs of block numbers that lengths allow; each task then gets one block of each
+    floored = written(renamed.mapInPandas(_first(head, turn, k, width, kind), "q_block long, q_ids binary, q_vectors binary, floors binary, reach double"), "topk-queries")
+    # pairs of block numbers that lengths allow
     pairs = floored.select("q_block", "reach", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(numbers - 1).cast("long"))).alias("block"))
     pairs = pairs.join(packed.select("block", "longest"), "block").filter(F.col("longest") * (1 + 1e-6) >= F.col("reach")).select("q_block", "block")
-    work = pairs.join(floored, "q_block").join(packed.select("block", "ids", "vectors"), "block").repartition("q_block", "block")
-    found = work.mapInPandas(_pairs(turn, k, width), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    parts = max(1, -(-TASKS // -(-total // candidates)))
+    placed = packed.select("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(False).alias("asks"), "ids", "vectors", F.lit(None).cast("binary").alias("floors"))
+    streamed = pairs.join(floored, "q_block").select("block", F.pmod("q_block", F.lit(parts)).cast("int").alias("part"), F.lit(True).alias("asks"), F.col("q_ids").alias("ids"), F.col("q_vectors").alias("vectors"), "floors")
+    work = placed.unionByName(streamed).repartition("block", "part").sortWithinPartitions("block", "part", "asks")
+    return work.mapInPandas(_pairs(turn, k, width, kind), "query_id long, vec_id long, score long")

@@ -36,3 +36,22 @@ def test_fewer_candidates_than_asked_for_and_empty_tables(spark):
     assert empty.columns == ["query_id", "rank", "vec_id", "score"]
     assert empty.count() == 0
     assert search(df, F.col("vec_id") > 100).count() == 0
+
+
+def test_each_length_is_searched_and_repeated_rows_count(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 1, (3, 8, 1)[i % 3])]) for i in range(90)]
+    rows += [(200, []), (4, rows[4][1]), (7, rows[7][1]), (7, rows[7][1])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], SCHEMA)
+    got = sorted(tuple(r) for r in search(df, F.col("vec_id") % 4 == 0, k=6, candidates=7, queries=4).collect())
+    want = []
+    for n in (1, 3, 8):
+        some = [r for r in rows if len(r[1]) == n]
+        want += {tuple(r) for r in brute(some, 6)} if n != 8 else brute(some, 6)
+    assert set(got) == set(want) and len(got) == len({(q, r) for q, r, _, _ in got})
+
+
+def test_large_components_are_held_whole(spark):
+    rows = [(0, [3e9, 1.0]), (1, [2e9, -1.0]), (4, [-5.0, 7.0])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
+    assert sorted(tuple(r) for r in search(df, F.col("vec_id") % 4 == 0, scale=1).collect()) == brute(rows, 20, 1)
