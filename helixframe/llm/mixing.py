@@ -35,6 +35,7 @@ class Solution:
     total: int
     sources: int
     entropy: float
+    budget: int
 
 
 def tokens(text: Column) -> Column:
@@ -65,12 +66,15 @@ def solve(totals: DataFrame, target_entropy: float | None = None, entropy_share:
     ``entropy_share`` sets the target that far from the entropy as found to the
     uniform one. The largest exponent that reaches the target is taken, or the smallest
     under which no source is repeated over ``max_epochs`` times, whichever is larger.
+    A budget of more than ``max_epochs`` times all tokens is cut to that, since any mixture of more repeats some source more often.
     """
     found = totals.filter("tokens > 0").agg(F.sum("tokens"), F.count("*")).first()
     total, n = int(found[0] or 0), int(found[1])
     if not total:
         return None
     budget = total if budget is None else budget
+    if max_epochs is not None:
+        budget = min(budget, int(max_epochs * total))
     (_, as_found, _), (_, uniform, _) = _evaluate(totals, total, budget, [1.0, 0.0])
     if entropy_share is not None:
         target_entropy = as_found + entropy_share * (uniform - as_found)
@@ -92,14 +96,14 @@ def solve(totals: DataFrame, target_entropy: float | None = None, entropy_share:
         over = bisect(lambda z, h, r: r > max_epochs)  # the last exponent that still repeats too much
         exponent = max(exponent, min(1.0, over + 33.0**-PASSES))
     norm, entropy, _ = _evaluate(totals, total, budget, [exponent])[0]
-    return Solution(exponent, norm, total, n, entropy)
+    return Solution(exponent, norm, total, n, entropy, budget)
 
 
-def decisions(rows: DataFrame, totals: DataFrame, solution: Solution, budget: int, block_tokens: int, seed: int) -> DataFrame:
+def decisions(rows: DataFrame, totals: DataFrame, solution: Solution, block_tokens: int, seed: int) -> DataFrame:
     """For each source its weight, whole epochs, number of blocks, and where the last epoch ends: in block order ``cut_block``, and inside that block ``cut_key``."""
     share = F.col("tokens") / F.lit(float(solution.total))
     weight = F.when(F.col("tokens") > 0, F.pow(share, F.lit(solution.exponent)) / F.lit(solution.norm)).otherwise(F.lit(0.0))
-    epochs = F.when(F.col("tokens") > 0, F.col("weight") * F.lit(float(budget)) / F.col("tokens")).otherwise(F.lit(1.0))
+    epochs = F.when(F.col("tokens") > 0, F.col("weight") * F.lit(float(solution.budget)) / F.col("tokens")).otherwise(F.lit(1.0))
     blocks = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("tokens") / F.lit(block_tokens)))).cast("long")
     plan = totals.withColumn("weight", weight).withColumn("__epochs", epochs).withColumn("blocks", blocks)
     plan = plan.withColumn("epochs", F.floor("__epochs").cast("int")).withColumn("rest", F.floor((F.col("__epochs") - F.floor("__epochs")) * F.col("tokens") + 1e-6).cast("long")).drop("__epochs")
@@ -137,33 +141,39 @@ def _with(rows: DataFrame, values: DataFrame, sources: DataFrame) -> DataFrame:
 
 def mix(
     docs: DataFrame, target_entropy: float | None = None, entropy_share: float | None = None, max_epochs: float | None = None, budget: int | None = None,
-    block_tokens: int = BLOCK_TOKENS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    block_tokens: int = BLOCK_TOKENS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", places: bool = True,
 ) -> DataFrame:
-    """``docs`` in the drawn proportions: each row as often as it is drawn, with ``__epoch``, ``__block_key`` and ``__key``.
+    """``docs`` in the drawn proportions: each row as often as it is drawn, with ``__epoch``, ``__block_key`` and ``__key`` unless ``places`` is false.
 
-    A source's stream is its rows in the order of those three. ``budget`` (tokens) is all tokens found unless given; a source never
-    gets more than its share of it. Null sources are one source, null texts are empty, and
-    a source without any token is passed through once. Repeated rows tie and are drawn together.
-    An empty table gives no rows. Further columns pass through, whatever their names.
+    A source's stream is its rows in the order of those three. ``budget`` (tokens) is all tokens found unless given, and at most ``max_epochs``
+    times that; a source never gets more than its share of it, and none is drawn more than ``max_epochs`` times. Null sources are one source, null texts are empty,
+    whole texts count, however long, and a source without any token is passed through once. Repeated rows tie and are drawn together.
+    An empty table gives no rows. Further columns pass through, whatever their names; where one has the name of a place, the place's gets a further underscore.
     """
-    marked = measured(docs, id_col, text_col, source_col, seed)
-    rows = written(marked.select("__src", "__key", tokens(text_of(text_col)).alias("tokens")), "mixing-rows")
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    column = {name: own[docs.columns.index(name)] for name in (id_col, text_col, source_col)}
+    extra = []
+    for name in ("__epoch", "__block_key", "__key"):
+        while name.lower() in {c.lower() for c in docs.columns}:
+            name += "_"
+        extra.append(name)
+    marked = measured(docs.toDF(*own), column[id_col], column[text_col], column[source_col], seed)
+    rows = written(marked.select("__src", "__key", tokens(text_of(column[text_col])).alias("tokens")), "mixing-rows")
     totals = written(rows.groupBy("__src").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_docs")), "mixing-sources")
     solution = solve(totals, target_entropy, entropy_share, max_epochs, budget)
     if solution is None:
-        return marked.withColumn("__epoch", F.lit(0)).withColumn("__block_key", F.lit(0).cast("long")).drop("__src")
-    plan = decisions(rows, totals, solution, solution.total if budget is None else budget, block_tokens, seed)
-    chosen = plan.select("__src", F.col("epochs").alias("__epochs"), F.col("blocks").alias("__blocks"), F.col("rest").alias("__rest"), F.col("cut_block").alias("__cut"), F.col("cut_no").alias("__cut_no"), F.col("cut_key").alias("__cut_key"), "n_docs")
-    if "n_docs" in marked.columns:
-        chosen = chosen.withColumnRenamed("n_docs", "__n_docs")
-    few = _few(plan)
-    drawn = marked.join(F.broadcast(chosen.drop("n_docs", "__n_docs")), "__src") if few else lookup(marked, chosen, "__src", chosen.columns[-1]).drop(chosen.columns[-1])
-    number = F.pmod("__key", "__blocks")
-    key = F.xxhash64(F.lit(seed + 1), F.col("__src"), number, F.col("__epochs").cast("int"))
-    before = F.col("__cut").isNull() | (key < F.col("__cut")) | ((key == F.col("__cut")) & (number < F.col("__cut_no")))
-    inside = (key == F.col("__cut")) & (number == F.col("__cut_no")) & (F.col("__key") <= F.col("__cut_key"))
-    extra = F.when((F.col("__rest") > 0) & (before | F.coalesce(inside, F.lit(False))), 1).otherwise(0)
-    times = (F.col("__epochs") + extra).cast("int")
-    out = drawn.withColumn("__times", times).filter("__times > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
-    out = out.withColumn("__block_key", F.xxhash64(F.lit(seed + 1), F.col("__src"), F.pmod("__key", "__blocks"), F.col("__epoch").cast("int")))
-    return out.select(*docs.columns, "__epoch", "__block_key", "__key")
+        out = marked.withColumn("__epoch", F.lit(0)).withColumn("__block_key", F.lit(0).cast("long"))
+    else:
+        plan = decisions(rows, totals, solution, block_tokens, seed)
+        chosen = plan.select("__src", F.col("epochs").alias("__epochs"), F.col("blocks").alias("__blocks"), F.col("rest").alias("__rest"), F.col("cut_block").alias("__cut"), F.col("cut_no").alias("__cut_no"), F.col("cut_key").alias("__cut_key"), "n_docs")
+        drawn = _with(marked, chosen, plan)
+        number = F.pmod("__key", "__blocks")
+        key = F.xxhash64(F.lit(seed + 1), F.col("__src"), number, F.col("__epochs").cast("int"))
+        before = F.col("__cut").isNull() | (key < F.col("__cut")) | ((key == F.col("__cut")) & (number < F.col("__cut_no")))
+        inside = (key == F.col("__cut")) & (number == F.col("__cut_no")) & (F.col("__key") <= F.col("__cut_key"))
+        more = F.when((F.col("__rest") > 0) & (before | F.coalesce(inside, F.lit(False))), 1).otherwise(0)
+        times = (F.col("__epochs") + more).cast("int")
+        out = drawn.withColumn("__times", times).filter("__times > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
+        out = out.withColumn("__block_key", F.xxhash64(F.lit(seed + 1), F.col("__src"), F.pmod("__key", "__blocks"), F.col("__epoch").cast("int")))
+    kept = [F.col(c).alias(name) for c, name in zip(own, docs.columns, strict=True)]
+    return out.select(*kept, *([F.col(c).alias(name) for c, name in zip(("__epoch", "__block_key", "__key"), extra, strict=True)] if places else []))

@@ -143,7 +143,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     from helixframe.llm.mixing import mix
 
-    return mix(docs, **MIXTURE).select(*docs.columns)
+    return mix(docs, places=False, **MIXTURE)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

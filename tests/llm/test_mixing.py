@@ -108,3 +108,25 @@ def test_main_path_runs_no_python(spark):
     _, df = docs(spark, [30, 5])
     plan = M.mix(df, entropy_share=0.5)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_no_source_is_drawn_more_often_than_allowed(spark):
+    """A budget beyond that is cut: at most ``max_epochs`` times all tokens are drawn."""
+    _, df = docs(spark, [60, 6])
+    got = M.mix(df, entropy_share=0.5, max_epochs=2.0, budget=10**7).collect()
+    times = {}
+    for r in got:
+        times[r["doc_id"]] = times.get(r["doc_id"], 0) + 1
+    assert max(times.values()) <= 2
+    assert sum(count(r["text"]) for r in got) <= 2 * sum(count(r["text"]) for r in df.collect())
+
+
+def test_clashing_names_repeated_rows_and_long_texts(spark):
+    rows = [(1, "a b c", "s", 7, 8, "x", 2.5), (1, "a b c", "s", 7, 8, "x", 2.5), (2, "w " * 200_000, "t", 1, 2, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __src long, __key long, c0 string, n_docs double")
+    got = M.mix(df, entropy_share=0.5)
+    assert got.columns == [*df.columns, "__epoch", "__block_key", "__key_"]
+    found = got.collect()
+    assert {tuple(r)[:7] for r in found} <= {tuple(r) for r in df.collect()}
+    ones = [r for r in found if r["doc_id"] == 1]
+    assert len(ones) % 2 == 0 and M.mix(df, entropy_share=0.5, places=False).columns == df.columns
