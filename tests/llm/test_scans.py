@@ -142,15 +142,8 @@ def test_scan_of_odd_rows(spark, tagger):
     assert pii.scan(df.limit(0), tagger).count() == 0
 
 
-def best_by_wording(text):
-    """The license whose template needs the fewest changed words, by trying all."""
-    words = L.wording(text)
-    found = []
-    for n, t in enumerate(L.TEMPLATES):
-        want = L.wording(t.text)
-        number = sum(max(len(a.split()), len(b.split())) for _, a, b in L.changes(words, want))
-        found.append((number / len(want), -len(want), n))
-    return L.TEMPLATES[min(found)[2]].license
+def names(text, scanner):
+    return [r[0] for r in scanner.scan(text)]
 
 
 def test_every_template_is_found_among_prose():
@@ -158,29 +151,52 @@ def test_every_template_is_found_among_prose():
     for t in L.TEMPLATES:
         text = "Some prose before it, long enough.\n" + t.text + "\nAnd some prose after it."
         (found, start, end, gain, number, _), = scanner.scan(text)
-        assert (found, text[start:end].rstrip("."), number) == (t.license, t.text.rstrip(".:"), 0) or found == t.license and text[start:end] in t.text + "."
-        assert gain > 0.2
+        assert (found, number) == (t.license, 0) and text[start:end] in t.text, t
+        assert len(text[start:end]) >= len(t.text) - 1 and gain > 0.2
 
 
 def test_small_changes_are_listed_and_telling_ones_decide():
     scanner = L.Scanner()
     (found, _, _, _, number, what), = scanner.scan("This software is licensed under the GNU General Public License, version 3.")
     assert (found, number, what) == ("GPL-3.0", 1, "replace: work -> software")
-    assert [r[0] for r in scanner.scan("This work is licensed under the GNU General Public License, version 2.")] == ["GPL-2.0"]
+    assert names("This work is licensed under the GNU General Public License, version 2.", scanner) == ["GPL-2.0"]
     assert scanner.scan("She had permission to leave. The licensed driver slept.") == []
-    assert scanner.scan("// SPDX-License-Identifier: Apache-2.0\n")[0][0] == "Apache-2.0"
+    assert names("// SPDX-License-Identifier: Apache-2.0\n", scanner) == ["Apache-2.0"]
+    assert scanner.scan("SPDX-License-Identifier: NotALicence") == []
+
+
+def test_several_statements_near_each_other():
+    scanner = L.Scanner()
+    assert names("Released under the MIT License.\nSPDX-License-Identifier: Apache-2.0", scanner) == ["MIT", "Apache-2.0"]
+    assert names("Licensed under the Apache License, Version 2.0 and the MIT license.", scanner) == ["Apache-2.0", "MIT"]
+    assert names("# SPDX-License-Identifier: (MIT OR Apache-2.0)\n", scanner) == ["MIT", "Apache-2.0"]
+    assert names("And so this whole thing was at last released under the MIT License, she said.", scanner) == ["MIT"]
+
+
+def test_two_and_three_clauses_are_told_apart():
+    two, three = (next(t.text for t in L.TEMPLATES if t.license == f"BSD-{n}-Clause") for n in (2, 3))
+    scanner = L.Scanner()
+    assert names("Copyright (c) 2020 Someone\n\n" + two, scanner) == ["BSD-2-Clause"]
+    assert names("Copyright (c) 2020 Someone\n\n" + three.replace("copyright holder nor", "Organisation nor"), scanner) == ["BSD-3-Clause"]
+    assert names(two.split(" 1. ")[0], scanner) == ["BSD"]
 
 
 def test_ranking_by_compression_keeps_the_brute_force_winner():
+    """With all templates confirmed by wording, and none left out by the ranking, results are the same."""
     scanner, rnd = L.Scanner(), random.Random(4)
-    for t in L.TEMPLATES:
-        words = t.text.split()
-        if len(words) > 20:
-            words[rnd.randrange(len(words) // 2, len(words))] = "changed"
-        text = " ".join(words)
-        found = scanner.scan(text)
-        if found and len(found) == 1:
-            assert found[0][0] == best_by_wording(text)
+    prose = ["and then the other words came along", "permission was never asked for", "an old copyright notice", "SPDX-License-Identifier: Nothing-1.0", "the license of the house"]
+    for i in range(2 * len(L.TEMPLATES)):
+        words = L.TEMPLATES[i % len(L.TEMPLATES)].text.split()
+        for _ in range(rnd.choice([0, 1, 1, 2]) if len(words) > 12 else 0):
+            at = rnd.randrange(len(words))
+            words[at : at + rnd.choice([0, 1])] = [rnd.choice(["changed", "new", "the"])]
+        text = rnd.choice(prose) + rnd.choice([". ", "\n"]) + " ".join(words) + rnd.choice([" and the BSD License. ", ".\n", "\n"]) + rnd.choice(prose)
+        assert scanner.scan(text) == scanner.scan(text, confirm=10_000), text
+
+
+def test_equal_templates_tie_to_the_first():
+    same = [L.Template("A", "Licensed under the terms of this thing.", ("thing",)), L.Template("B", "Licensed under the terms of this thing.", ("thing",))]
+    assert [r[0] for r in L.Scanner(same, ()).scan("Licensed under the terms of this thing.")] == ["A"]
 
 
 def test_license_scan_of_odd_rows(spark):
