@@ -302,23 +302,38 @@ def tandem_repeats(s, unit: int = 6, copies: int = 3) -> Column:
     return _tandem(s, F.lit(unit), F.lit(copies))
 
 
-@F.pandas_udf(T.StructType([T.StructField("score", T.IntegerType()), T.StructField("second", T.IntegerType())]))
-def _smith_waterman(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+def _align(xs: list[str], ys: list[str]):
+    """(best, second) of each pair, a row of all matrices at a time; gaps along a row are a running maximum, since each costs the same."""
     import numpy as np
 
-    out = []
-    for x, y in zip(a, b, strict=True):
-        best = np.zeros(len(y or "") + 1, int)
-        ends = [0]
-        for c in x or "":
-            row = np.zeros_like(best)
-            for j, d in enumerate(y or "", 1):
-                row[j] = max(0, best[j - 1] + (2 if c == d else -2), best[j] - 3, row[j - 1] - 3)
-            ends.append(int(row.max()))
-            best = row
-        top = int(np.argmax(ends))
-        rest = [v for i, v in enumerate(ends) if abs(i - top) > len(y or "") // 2]
-        out.append((ends[top], max(rest, default=0)))
+    n, wide = len(xs), max(map(len, ys))
+    x = np.full((max(map(len, xs)), n), -1, np.int64)
+    y = np.full((n, wide), -2, np.int64)
+    for i, (p, q) in enumerate(zip(xs, ys, strict=True)):
+        x[: len(p), i], y[i, : len(q)] = list(map(ord, p)), list(map(ord, q))
+    outside, slope = y == -2, 3 * np.arange(wide + 1)
+    best, ends = np.zeros((n, wide + 1), np.int64), np.zeros((len(x) + 1, n), np.int64)
+    for i, c in enumerate(x, 1):
+        row = np.zeros_like(best)
+        row[:, 1:] = np.where(outside, 0, np.maximum(best[:, :-1] + np.where(y == c[:, None], 2, -2), best[:, 1:] - 3))
+        best = np.maximum.accumulate(np.maximum(row, 0) + slope, 1) - slope
+        ends[i] = best.max(1)
+    for i, (p, q) in enumerate(zip(xs, ys, strict=True)):
+        own = ends[: len(p) + 1, i]
+        top = int(np.argmax(own))
+        far = np.abs(np.arange(len(own)) - top) > len(q) // 2
+        yield int(own[top]), int(own[far].max(initial=0))
+
+
+@F.pandas_udf(T.StructType([T.StructField("score", T.IntegerType()), T.StructField("second", T.IntegerType())]))
+def _smith_waterman(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    xs, ys = [v or "" for v in a], [v or "" for v in b]
+    order = sorted(range(len(xs)), key=lambda i: (len(xs[i]), len(ys[i])))  # pairs of like lengths are padded together
+    out: list = [None] * len(xs)
+    for at in range(0, len(order), 128):
+        some = order[at : at + 128]
+        for i, found in zip(some, _align([xs[i] for i in some], [ys[i] for i in some]), strict=True):
+            out[i] = found
     return pd.DataFrame(out, columns=["score", "second"])
 
 

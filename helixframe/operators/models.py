@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -108,8 +109,13 @@ def support_vector_regression(df: DataFrame, keys: list[str], features: list[str
     return df.groupBy(*keys).applyInPandas(solve, schema)
 
 
-def improved_pairs(df: DataFrame, keys: list[str], item: str, value: str, rounds: int = 50, seed: int = 1) -> DataFrame:
-    """Items of each group paired so that sums come near each other: a seeded random pairing whose partners are swapped while that lowers the spread."""
+def improved_pairs(df: DataFrame, keys: list[str], item: str, value: str, rounds: int = 50, seed: int = 1, block: int = 512) -> DataFrame:
+    """Items of each group paired so that sums come near each other: a seeded random pairing whose partners are swapped while that lowers the spread.
+
+    A group is dealt by hash to blocks of about ``block`` items, each paired on its own, so work grows with the
+    items and no group is one task. In a round each pair is held against all others of its block at once and swaps with
+    the one that gains most. The last item of a block of odd size has no partner.
+    """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(item)
@@ -118,18 +124,22 @@ def improved_pairs(df: DataFrame, keys: list[str], item: str, value: str, rounds
         for _ in range(rounds):
             changed = False
             for i in range(len(order)):
-                for j in range(i):
-                    a, b, c, d = v[order[i, 0]], v[order[i, 1]], v[order[j, 0]], v[order[j, 1]]
-                    if abs(a + d - b - c) < abs(a + b - c - d) - 1e-12:
-                        order[i, 1], order[j, 1] = order[j, 1], order[i, 1]
-                        changed = True
+                a, b, c, d = v[order[i, 0]], v[order[i, 1]], v[order[:, 0]], v[order[:, 1]]
+                gain = np.abs(a + b - c - d) - np.abs(a + d - b - c)
+                j = int(np.argmax(gain)) if len(gain) else i
+                if j != i and gain[j] > 1e-12:
+                    order[i, 1], order[j, 1] = order[j, 1], order[i, 1]
+                    changed = True
             if not changed:
                 break
         names = pdf[item].to_numpy()
         return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "a": names[order[:, 0]], "b": names[order[:, 1]], "total": v[order].sum(1)})
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.groupBy(*keys).applyInPandas(solve, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"a {kinds[item]}", f"b {kinds[item]}", "total double"]))
+    sizes = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.ceil(F.count("*") / F.lit(block)).alias("__blocks"))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    dealt = df.join(sizes, functools.reduce(lambda x, y: x & y, same)).withColumn("__block", F.pmod(F.xxhash64(F.lit(seed), F.col(item)), F.col("__blocks"))).select(*df.columns, "__block")
+    return dealt.groupBy(*keys, "__block").applyInPandas(solve, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"a {kinds[item]}", f"b {kinds[item]}", "total double"]))
 
 
 def count_min(df: DataFrame, key: str, width: int = 1 << 12, depth: int = 4) -> DataFrame:

@@ -243,31 +243,18 @@ def result_diff(spark, d):
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right"))).select("side", "l_suppkey", "l_partkey")
 
 
-def sharing(spark, d, candidates):
-    """Candidates against all samples by any common allele: profiles are grouped first, so a candidate meets each distinct profile once."""
+@register("allele_sharing", """
+WITH g AS (SELECT l_suppkey AS s, list(DISTINCT l_returnflag || l_linestatus) AS a FROM lineitem WHERE l_quantity > 49 GROUP BY 1)
+SELECT x.s AS child, count(*) FILTER (list_has_any(x.a, y.a)) AS shares, count(*) FILTER (NOT list_has_any(x.a, y.a)) AS shares_none FROM g x JOIN g y ON x.s <> y.s GROUP BY 1""")
+def allele_sharing(spark, d):
+    """Every sample against all others by any common allele, over sites read more than 49 deep: profiles are grouped first, so a sample meets each distinct profile once."""
     g = t(spark, d, "lineitem").filter("l_quantity > 49").groupBy(F.col("l_suppkey").alias("s")).agg(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))).alias("a"))
     profiles = F.broadcast(g.groupBy("a").agg(F.count("*").alias("n")))  # subsets of six values: 63 rows at most
-    j = g.filter(candidates).select(F.col("s").alias("child"), F.col("a").alias("own")).join(profiles)
+    j = g.select(F.col("s").alias("child"), F.col("a").alias("own")).join(profiles)
     hit = F.arrays_overlap("own", "a")
     return j.groupBy("child").agg((F.sum(F.when(hit, F.col("n")).otherwise(0)) - 1).alias("shares"), F.sum(F.when(hit, 0).otherwise(F.col("n"))).cast("long").alias("shares_none"))
 
 
-@register("allele_sharing", """
-WITH g AS (SELECT l_suppkey AS s, list(DISTINCT l_returnflag || l_linestatus) AS a FROM lineitem WHERE l_quantity > 49 GROUP BY 1)
-SELECT x.s AS child, count(*) FILTER (list_has_any(x.a, y.a)) AS shares, count(*) FILTER (NOT list_has_any(x.a, y.a)) AS shares_none FROM g x JOIN g y ON x.s <> y.s AND x.s % 10 = 0 GROUP BY 1""")
-def allele_sharing(spark, d):
-    """The slice of ``allele_sharing_all`` that its SQL asks for: every tenth sample is a candidate."""
-    return sharing(spark, d, "s % 10 = 0")
-
-
-@register("allele_sharing_all", """
-WITH g AS (SELECT l_suppkey AS s, list(DISTINCT l_returnflag || l_linestatus) AS a FROM lineitem WHERE l_quantity > 49 GROUP BY 1)
-SELECT x.s AS child, count(*) FILTER (list_has_any(x.a, y.a)) AS shares, count(*) FILTER (NOT list_has_any(x.a, y.a)) AS shares_none FROM g x JOIN g y ON x.s <> y.s GROUP BY 1""")
-def allele_sharing_all(spark, d):
-    """Every sample as a candidate."""
-    return sharing(spark, d, "true")
-
-
 @register("attribute_assembly", """
 SELECT c_custkey, c_name, coalesce(n, 0) AS orders, coalesce(open, 0) AS open, round(coalesce(spent, 0), 2) AS spent FROM customer
 LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS spent FROM orders GROUP BY 1) a ON a.o_custkey = c_custkey LEFT JOIN (SELECT o_custkey, count(*) AS open FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b ON b.o_custkey = c_custkey""")

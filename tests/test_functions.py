@@ -145,3 +145,24 @@ def test_overlap_significance(spark):
 
     got = spark.range(1).select(overlap_significance(L(10), L(8)).alias("p")).first()["p"]
     assert got == pytest.approx(sum(math.comb(10, i) * 0.25**i * 0.75 ** (10 - i) for i in range(8, 11)))
+
+
+def test_local_alignment_equals_cell_by_cell():
+    import random
+
+    from helixframe.functions.seq import _align
+
+    def plain(x, y):
+        best, ends = [0] * (len(y) + 1), [0]
+        for c in x:
+            row = [0] * (len(y) + 1)
+            for j, d in enumerate(y, 1):
+                row[j] = max(0, best[j - 1] + (2 if c == d else -2), best[j] - 3, row[j - 1] - 3)
+            ends.append(max(row))
+            best = row
+        top = ends.index(max(ends))
+        return ends[top], max((v for i, v in enumerate(ends) if abs(i - top) > len(y) // 2), default=0)
+
+    rnd = random.Random(3)
+    xs, ys = (["".join(rnd.choice("ACGT") for _ in range(rnd.randrange(0, n))) for _ in range(150)] for n in (60, 25))
+    assert list(_align(xs, ys)) == [plain(x, y) for x, y in zip(xs, ys, strict=True)]

@@ -25,7 +25,7 @@ def test_overlaps_of_every_supplier(spark, tmp_path):
     spans = [(c, o, min(p), max(p) + 20) for (c, o), p in spans.items()]
     want = sorted((c, a, b) for c, a, s, e in spans for k, b, bs, be in spans if c == k and a < b and s - 2 <= be and bs <= e + 2)
     assert len({c for c, _, _ in want}) > 15
-    got = sorted((r["a"], r["b"]) for r in catalog.queries()["overlap_padded_all"](spark, str(tmp_path)).collect())
+    got = sorted((r["a"], r["b"]) for r in catalog.queries()["overlap_padded"](spark, str(tmp_path)).collect())
     assert got == sorted((a, b) for _, a, b in want)
 
 
@@ -38,7 +38,7 @@ def test_flags_of_every_supplier(spark, tmp_path):
             a, b = want.get((o, c), (0, 0))
             want[o, c] = (a | any(abs(h - fh) <= 1 for fh, _ in other), b | any(abs(v - fv) <= 1 for _, fv in other))
     assert len({c for _, c in want}) > 15
-    got = {(r["o"], r["c"]): r["flag"] for r in catalog.queries()["overlap_2d_flags_all"](spark, str(tmp_path)).collect()}
+    got = {(r["o"], r["c"]): r["flag"] for r in catalog.queries()["overlap_2d_flags"](spark, str(tmp_path)).collect()}
     assert got == {k: a + 2 * b for k, (a, b) in want.items()}
 
 
