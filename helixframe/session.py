@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +33,13 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder under ``spark.checkpoint.dir``, which all machines share. Where that is unset, a temporary one in local mode and an error on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

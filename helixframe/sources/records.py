@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.text import strip_chromosome
@@ -117,12 +117,26 @@ def fastx(spark: SparkSession, path) -> DataFrame:
 
 
 def fastq(spark: SparkSession, path) -> DataFrame:
-    """Four-line FASTQ from splittable files: a record is read at the "\\n+" that follows its sequence, so lines need no numbers."""
-    raw = spark.read.option("lineSep", "\n@").text(path)
-    f = F.split(F.regexp_replace(F.regexp_replace("value", "^@", ""), "\r", ""), "\n")
-    named = raw.select(f.alias("f")).filter((F.size("f") >= 4) & F.startswith(F.col("f")[2], F.lit("+")))
-    head = F.split(F.col("f")[0], r"\s+", 2)
-    return named.select(head[0].alias("name"), F.coalesce(F.get(head, F.lit(1)), F.lit("")).alias("comment"), F.col("f")[1].alias("seq"), F.col("f")[3].alias("qual"))
+    """Four-line FASTQ from splittable files: records are parted at "\\n@", so lines need no numbers.
+
+    A quality that begins with "@" is parted from its record too. Such halves are met again by their places in the file, so
+    only they are shuffled; halves that lie in different blocks of a file are the last and the first of theirs.
+    """
+    raw = spark.read.option("lineSep", "\n@").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    f = F.split(F.regexp_replace("value", "\r", ""), "\n")
+    parts = raw.select("file", "block", "value", f.alias("f"))
+    marked = F.startswith(F.get("f", F.lit(2)), F.lit("+"))
+    whole = parts.filter((F.size("f") >= 4) & marked).select(F.regexp_replace(F.col("f")[0], "^@", "").alias("head"), F.col("f")[1].alias("seq"), F.col("f")[3].alias("qual"))
+    numbered = parts.withColumn("at", F.monotonically_increasing_id()).filter(F.size("f") < 4)
+    opens = (F.size("f") == 3) & marked
+    halves = numbered.select("file", "block", "at", F.when(opens, F.struct(F.regexp_replace(F.col("f")[0], "^@", "").alias("head"), F.col("f")[1].alias("seq"))).alias("a"), F.when(~opens, F.concat(F.lit("@"), F.col("f")[0])).alias("b"))
+    met = halves.groupBy("file", "block", (F.col("at") + F.when(F.col("a").isNotNull(), 1).otherwise(0)).alias("at")).agg(F.first("a", True).alias("a"), F.first("b", True).alias("b"))
+    within = met.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    follows = F.lead("b").over(Window.partitionBy("file").orderBy("block", "at"))  # one open half a block at most
+    across = met.filter(F.col("a").isNull() | F.col("b").isNull()).select("a", follows.alias("b")).filter("a is not null and b is not null")
+    mended = within.select("a", "b").unionByName(across).select("a.head", "a.seq", F.col("b").alias("qual"))
+    head = F.split("head", r"\s+", 2)
+    return whole.unionByName(mended).select(head[0].alias("name"), F.coalesce(F.get(head, F.lit(1)), F.lit("")).alias("comment"), "seq", "qual")
 
 
 def paired(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -7,20 +7,19 @@ again, so a stream's result equals its batch twin's.
 
 from __future__ import annotations
 
-import tempfile
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.session import shared_folder
+
 
 def folder(spark: SparkSession) -> str:
     """A new folder under the shared checkpoint folder; a temporary one only where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def source(spark: SparkSession, path: str, like: DataFrame, files_per_trigger: int | None = None) -> DataFrame:

@@ -143,3 +143,19 @@ def test_tandem_repeat_results(spark, put):
     text = "DNA Analysis Result\n" + sample.format("S1") + "DNA Analysis Result\n" + sample.format("S2") + "DNA Analysis Result\n"
     got = sorted((r["sample"], r["locus"], r["alleles"]) for r in R.str_results(spark, put("s.dat", text)).collect())
     assert got == [("S1", "D3", ["14", "15"]), ("S1", "TH01", []), ("S2", "D3", ["14", "15"]), ("S2", "TH01", [])]
+
+
+def test_fastq_qualities_that_begin_with_the_separator(spark, put):
+    import random
+
+    rnd = random.Random(1)
+    reads = [(f"r{i}", "c d" if i % 3 == 0 else "", "".join(rnd.choice("ACGT") for _ in range(n)), "".join(rnd.choice("@+I#!>") for _ in range(n))) for i, n in enumerate(rnd.randrange(1, 60) for _ in range(800))]
+    path = put("at.fq", "".join(f"@{name}{' ' + comment if comment else ''}\n{s}\n+\n{q}\n" for name, comment, s, q in reads))
+    for size in ("128MB", "1000", "333"):  # blocks end anywhere, between the halves of a record too
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            assert sorted(rows(R.fastq(spark, path))) == sorted(reads)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
