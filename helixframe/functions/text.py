@@ -47,13 +47,13 @@ def human2bytes(s) -> Column:
     return F.when(number != "", F.floor(number.try_cast("double") * F.pow(F.lit(1024.0), power)).cast("long"))
 
 
-def humanized(n, base: int = 1000) -> Column:
-    """SI (1000) or IEC (1024) size with two decimals."""
-    names = ["B", "kB", "MB", "GB", "TB", "PB", "EB"] if base == 1000 else ["B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB"]
+def humanized(n, base: int = 1024, decimals: int = 1, suffix: str = "B") -> Column:
+    """A size in the largest unit that leaves at least 1, by 1,000 (K, M, ...) or 1,024 (Ki, Mi, ...). A half in the decimal form of the quotient is rounded up."""
+    names = [x + ("i" if base == 1024 else "") for x in "KMGTPEZ"]
     value = n.cast("double")
-    out = F.format_string("%.2f B", value)
-    for i, name in enumerate(names[1:], 1):
-        out = F.when(value >= float(base) ** i, F.format_string(f"%.2f {name}", value / float(base) ** i)).otherwise(out)
+    out = F.format_string(f"%.{decimals}f {suffix}", value)
+    for i, name in enumerate(names, 1):
+        out = F.when(F.abs(value) >= float(base) ** i, F.format_string(f"%.{decimals}f {name}{suffix}", value / float(base) ** i)).otherwise(out)
     return out
 
 

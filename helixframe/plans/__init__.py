@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES: tuple[str, ...] = ("aggregates", "joins", "ordered", "scalars", "statistics", "streams", "embedded", "extras")
+FAMILIES: tuple[str, ...] = ("aggregates", "joins", "ordered", "scalars", "statistics", "streams", "embedded", "extras", "formats", "columns")
 
 
 def load() -> None:

@@ -48,9 +48,9 @@ def whitespace(spark: SparkSession, path, schema: str, comments: str = "#") -> D
     return lines(spark, path, comments).select(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("f")).select(*_typed(F.col("f"), schema, ()))
 
 
-def headed(spark: SparkSession, path, sep: str = "\t", rename: tuple[str, str] | None = None, missing: str | None = None) -> DataFrame:
-    """A table whose first line names its columns; characters that are not of a name become "_", and ``rename`` (pattern, replacement) applies to names. All strings."""
-    df = spark.read.option("header", True).option("sep", sep).option("nullValue", missing or "").csv(path)
+def headed(spark: SparkSession, path, sep: str = "\t", rename: tuple[str, str] | None = None, missing: str | None = None, **options: str) -> DataFrame:
+    """A table whose first line names its columns; characters that are not of a name become "_", and ``rename`` (pattern, replacement) applies to names. All strings. ``options`` are those of Spark's CSV reader."""
+    df = spark.read.options(**options).option("header", True).option("sep", sep).option("nullValue", missing or "").csv(path)
     names = []
     for name in df.columns:
         clean = re.sub(r"\W", "_", name.strip().lstrip("#"))

@@ -92,9 +92,9 @@ def test_exclusion_probabilities(spark):
 
 
 def test_sizes_and_cleanups(spark):
-    r = values(spark, **{f"h{i}": X.bytes2human(L(n)) for i, n in enumerate((0, 1024, 1048576))}, iec=X.bytes2human(L(9856), "iec"), hu=X.humanized(L(1500)), hi=X.humanized(L(1536), 1024), **{f"b{i}": X.human2bytes(L(s)) for i, s in enumerate(("1 K", "1 Gi", "1 tera", "0.5kilo", "0.1  byte", "1 k", "12 foo"))})
+    r = values(spark, **{f"h{i}": X.bytes2human(L(n)) for i, n in enumerate((0, 1024, 1048576))}, iec=X.bytes2human(L(9856), "iec"), hu=X.humanized(L(1500), 1000), hi=X.humanized(L(1536), decimals=2), **{f"b{i}": X.human2bytes(L(s)) for i, s in enumerate(("1 K", "1 Gi", "1 tera", "0.5kilo", "0.1  byte", "1 k", "12 foo"))})
     assert [r[f"h{i}"] for i in range(3)] == ["0.0 B", "1.0 K", "1.0 M"]
-    assert (r["iec"], r["hu"], r["hi"]) == ("9.6 Ki", "1.50 kB", "1.50 KiB")
+    assert (r["iec"], r["hu"], r["hi"]) == ("9.6 Ki", "1.5 KB", "1.50 KiB")
     assert [r[f"b{i}"] for i in range(7)] == [1024, 1073741824, 1099511627776, 512, 0, 1024, None]
     r = values(spark, p=X.percent(L("23.5%")), m=X.missing(L("NA")), k=X.missing(L("x")), c=X.strip_chromosome(L("Chromosome_7")), c2=X.strip_chromosome(L("chr1")), a=X.clean_accession(L("gb|AB123.1|")), u=X.url_decode(L("a%20b+c")), bad=X.url_decode(L("100%")), half=X.round_half_up(L(2.675)), log=X.minus_log10(L(0.0)))
     assert (r["p"], r["m"], r["k"], r["c"], r["c2"], r["a"], r["u"], r["bad"], r["log"]) == (23.5, None, "x", "7", "1", "AB123", "a b c", None, 20.0)
