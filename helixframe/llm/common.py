@@ -17,9 +17,11 @@ MIN_HEAVY = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one only where that is unset, as in tests."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``). Where that is unset, a temporary one in local mode, as in tests, and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
