@@ -154,3 +154,8 @@ def spatial_name(name) -> Column:
     """Row, column, x and y of a spatial read name: fields 6 to 9 between colons."""
     part = F.split(name, ":")
     return F.struct(F.substring(part[5], 2, 9).cast("int").alias("row"), F.substring(part[6], 2, 9).cast("int").alias("col"), part[7].cast("double").alias("x"), part[8].cast("double").alias("y"))
+
+
+def draw(seed: int, *columns) -> Column:
+    """A seeded 48-bit number of the columns' texts, from the first twelve hex digits of an MD5: a rerun task, or another engine, draws the same."""
+    return F.conv(F.left(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns])), F.lit(12)), 16, 10).cast("long")

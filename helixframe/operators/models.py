@@ -156,10 +156,10 @@ def count_min_query(keys: DataFrame, key: str, sketch: DataFrame, width: int = 1
 
 
 def empirical_p(df: DataFrame, keys: list[str], score: str, null: DataFrame, null_score: str) -> DataFrame:
-    """Share of null scores at or above each score, plus one on both sides, by ranks in one sorted pass."""
-    n = null.count()
+    """Share of a key's null scores at or above each score, plus one on both sides, by ranks in one sorted pass; 1 where a key has none."""
     marks = null.groupBy(*keys, F.col(null_score).alias("__s")).agg(F.count("*").alias("__n"))
     asked = df.select(*keys, F.col(score).alias("__s")).distinct().withColumn("__n", F.lit(None).cast("long"))
     window = Window.partitionBy(*keys).orderBy(F.desc("__s"))
-    both = asked.unionByName(marks).withColumn("__a", F.coalesce(F.sum("__n").over(window), F.lit(0))).filter("__n is null").select(*keys, F.col("__s").alias(score), ((F.col("__a") + 1) / F.lit(n + 1.0)).alias("p"))
+    counted = asked.unionByName(marks).select("*", F.coalesce(F.sum("__n").over(window), F.lit(0)).alias("__a"), F.coalesce(F.sum("__n").over(Window.partitionBy(*keys)), F.lit(0)).alias("__all"))
+    both = counted.filter("__n is null").select(*keys, F.col("__s").alias(score), ((F.col("__a") + 1) / (F.col("__all") + 1)).alias("p"))
     return df.join(both, [*keys, score])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixframe.functions.text import draw
 from helixframe.operators.windows import running_sums
 
 
@@ -191,7 +192,7 @@ def bootstrap(df: DataFrame, block: str, x: str, y: str, rounds: int = 100, seed
     """Ratio of sums in ``rounds`` resamplings of blocks: each block gets a Poisson weight, so a round needs no pass of its own."""
     sums = df.groupBy(block).agg(F.sum(x).cast("double").alias("x"), F.sum(y).cast("double").alias("y"))
     rolled = sums.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(block), F.col("round")), F.lit(1 << 30)) / float(1 << 30)).cast("double")
+    u = draw(seed, block, "round") / float(1 << 48)
     weight, upto, p = F.lit(0), math.exp(-1), math.exp(-1)
     for k in range(1, 9):
         weight = weight + F.when(u >= upto, 1).otherwise(0)

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helixframe.catalog import register
+from helixframe.functions import text
 from helixframe.operators import relational, windows
-from helixframe.plans.common import day, r, sql_day, t
+from helixframe.plans.common import day, r, sql_day, sql_draw, t
 
 
 @register("cube_margins", """
@@ -405,13 +406,13 @@ def length_then_lexical(spark, d):
     return t(spark, d, "nation").select("n_name", F.row_number().over(Window.orderBy(F.col("n_name") == "NATION_0", F.length("n_name"), "n_name")).alias("place"))
 
 
-@register("sampled_loci")
+@register("sampled_loci", f"SELECT p_partkey FROM part ORDER BY {sql_draw(7, 'p_partkey')}, p_partkey LIMIT 100")
 def sampled_loci(spark, d):
     """A hundred parts in a seeded random order of their keys; the limit is the feature."""
-    return t(spark, d, "part").select("p_partkey").orderBy(F.xxhash64(F.lit(7), "p_partkey"), "p_partkey").limit(100)
+    return t(spark, d, "part").select("p_partkey").orderBy(text.draw(7, "p_partkey"), "p_partkey").limit(100)
 
 
-@register("shuffled_rows")
+@register("shuffled_rows", f"SELECT o_orderkey, {sql_draw(11, 'o_orderkey')} AS place FROM orders")
 def shuffled_rows(spark, d):
     """All rows in a seeded random order, as a place key that sorts them on any number of executors."""
-    return t(spark, d, "orders").select("o_orderkey", F.xxhash64(F.lit(11), "o_orderkey").alias("place")).orderBy("place", "o_orderkey")
+    return t(spark, d, "orders").select("o_orderkey", text.draw(11, "o_orderkey").alias("place")).orderBy("place", "o_orderkey")

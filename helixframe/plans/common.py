@@ -27,3 +27,8 @@ def sql_day(column: str) -> str:
 
 def r(column: Column, places: int = 6) -> Column:
     return F.round(column, places)
+
+
+def sql_draw(seed: int, *columns: str) -> str:
+    """The SQL of ``text.draw``."""
+    return f"CAST('0x' || left(md5(concat_ws(':', '{seed}', {', '.join(columns)})), 12) AS BIGINT)"

@@ -141,3 +141,11 @@ def count_min_sketch(spark, d):
 def improved_pairs(spark, d):
     s = t(spark, d, "supplier").withColumn("third", F.col("s_nationkey") % 3)
     return models.improved_pairs(s, ["third"], "s_suppkey", "s_acctbal").withColumn("total", r(F.col("total")))
+
+
+@register("empirical_p", "WITH n AS (SELECT o_orderkey % 25 AS k, o_totalprice / 100 AS s FROM orders), p AS (SELECT p_partkey, p_size % 25 AS k, p_retailprice AS s FROM part) SELECT p_partkey, round(((SELECT count(*) FROM n WHERE n.k = p.k AND n.s >= p.s) + 1) / (SELECT count(*) + 1 FROM n WHERE n.k = p.k), 6) AS p FROM p")
+def empirical_p(spark, d):
+    """Prices of parts against the prices of orders of one remainder."""
+    null = t(spark, d, "orders").select((F.col("o_orderkey") % 25).alias("k"), (F.col("o_totalprice") / 100).alias("n"))
+    x = models.empirical_p(t(spark, d, "part").select("p_partkey", (F.col("p_size") % 25).cast("long").alias("k"), F.col("p_retailprice").alias("s")), ["k"], "s", null, "n")
+    return x.select("p_partkey", r(F.col("p")).alias("p"))

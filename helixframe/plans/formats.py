@@ -10,6 +10,7 @@ from helixframe.plans.common import t
 from helixframe.plans.scalars import DNA, dna
 from helixframe.session import shared_folder
 from helixframe.sources import records, sinks
+from helixframe.streaming import operators as streaming
 
 QUALITY = f"translate({DNA}, 'ACGT', 'I5@#')"
 
@@ -298,3 +299,48 @@ def write_several(spark, d):
     sinks.several({"high": p.filter("p_size > 25"), "low": p.filter("p_size <= 25")}, path)
     read = [spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("output")) for name in ("high", "low")]
     return read[0].unionByName(read[1]).groupBy("output").agg(F.count("*").alias("n"))
+
+
+@register("edge_table", "SELECT c_custkey AS src, c_nationkey AS dst, CAST(1 AS INTEGER) AS weight FROM customer")
+def edge_table(spark, d):
+    path = shared_folder(spark, "records")
+    sinks.tsv(sinks.edges(t(spark, d, "customer").withColumn("one", F.lit(1)), "c_custkey", "c_nationkey", "one"), path, header=False)
+    return records.positional(spark, path, "src long, dst int, weight int")
+
+
+@register("configured_sections", "SELECT 'R' || n_regionkey AS section, n_name AS key, CAST(n_nationkey AS VARCHAR) AS value FROM nation")
+def configured_sections(spark, d):
+    """The 25 nations as a sectioned file, read on the driver."""
+    rows = t(spark, d, "nation").orderBy("n_regionkey", "n_nationkey").collect()
+    lines: list[str] = []
+    for n in rows:
+        head = f"[R{n['n_regionkey']}]"
+        lines += [*([] if head in lines else ["# a region", head]), f"{n['n_name']} = {n['n_nationkey']}"]
+    found = records.sections("\n".join(lines))
+    return spark.createDataFrame([(s, k, v) for s, pairs in found.items() for k, v in pairs.items()], "section string, key string, value string")
+
+
+@register("configured_nested", "SELECT 'R' || n_regionkey AS region, n_name AS nation FROM nation")
+def configured_nested(spark, d):
+    """The 25 nations as lists under their regions, read on the driver."""
+    rows = t(spark, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names")).collect()
+    found = records.nested("regions:\n" + "\n".join(f"  R{g['n_regionkey']}:\n" + "\n".join(f"    - {n}" for n in g["names"]) for g in rows))
+    return spark.createDataFrame([(k, n) for k, names in found["regions"].items() for n in names], "region string, nation string")
+
+
+@register("waited_files", "SELECT TRUE AS marked, count(*) AS n FROM orders")
+def waited_files(spark, d):
+    """A folder is read once its done-mark is there."""
+    path = shared_folder(spark, "records")
+    t(spark, d, "orders").write.parquet(path)
+    return spark.read.parquet(path).agg(F.lit(streaming.wait_for(spark, path)).alias("marked"), F.count("*").alias("n"))
+
+
+@register("distance_matrix", "SELECT n.n_nationkey AS a, m.n_nationkey AS b, round(abs(n.n_regionkey - m.n_regionkey) / 7.0, 6) AS distance FROM nation n JOIN nation m ON m.n_nationkey < n.n_nationkey")
+def distance_matrix(spark, d):
+    """The triangle of the 25 nations written as a matrix and read from its text."""
+    n = t(spark, d, "nation").selectExpr("format_string('%02d', n_nationkey) AS k", "n_regionkey AS v")
+    pairs = n.alias("x").join(n.alias("y"), F.col("x.k") < F.col("y.k")).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), (F.abs(F.col("x.v") - F.col("y.v")) / 7).alias("d"))
+    rows = sinks.nexus(pairs, "a", "b", "d").split("MATRIX\n")[1].split("\n;")[0].splitlines()
+    names = [x.split()[0] for x in rows]
+    return spark.createDataFrame([(int(names[i]), int(names[j]), float(v)) for i, x in enumerate(rows) for j, v in enumerate(x.split()[1:-1])], "a int, b int, distance double")

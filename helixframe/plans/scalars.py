@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.catalog import register
 from helixframe.functions import calc, seq, text
-from helixframe.plans.common import r, t
+from helixframe.plans.common import r, sql_draw, t
 
 #: A sequence for each part: its name's letters folded to the four bases.
 DNA = "translate(lower(p_name), 'abcdefghijklmnopqrstuvwxyz0123456789 -_#', 'ACGTACGTACGTACGTACGTACGTACGTACGTACGTACGT')"
@@ -347,7 +347,10 @@ def low_information_filter(spark, d):
     return x.filter((F.size(F.array_distinct(seq.chars(F.col("s")))) == 4) & ~F.col("s").rlike(r"(.)\1\1")).select("p_partkey", "s")
 
 
-@register("kmer_entropy")
+@register("kmer_entropy", f"""
+WITH x AS (SELECT p_partkey, {DNA} AS s FROM part), w AS (SELECT p_partkey, k, s[i:i + k - 1] AS w FROM x, (SELECT unnest([1, 2, 3]) AS k), generate_series(1, 100) g(i) WHERE i + k - 1 <= length(s)),
+c AS (SELECT p_partkey, k, w, count(*) AS n FROM w GROUP BY ALL), q AS (SELECT p_partkey, k, n / sum(n) OVER (PARTITION BY p_partkey, k) AS p FROM c), h AS (SELECT p_partkey, k, sum(-p * log2(p)) AS h, count(*) AS kinds FROM q GROUP BY 1, 2)
+SELECT p_partkey, round(sum(h) FILTER (k = 1), 6) + 0.0 AS h1, round(sum(h) FILTER (k = 2), 6) + 0.0 AS h2, any_value(kinds) FILTER (k = 1) < 4 OR regexp_matches(any_value(s), 'AAA|CCC|GGG|TTT') OR sum(h) < 3.6 AS low FROM h JOIN x USING (p_partkey) GROUP BY 1""")
 def kmer_entropy(spark, d):
     return dna(spark, d).select("p_partkey", r(seq.entropy("s", 1)).alias("h1"), r(seq.entropy("s", 2)).alias("h2"), seq.low_information("s", 12).alias("low"))
 
@@ -367,9 +370,9 @@ def tandem_repeats(spark, d):
     return dna(spark, d).select("p_partkey", F.explode(seq.tandem_repeats("s", 3, 2)).alias("x")).select("p_partkey", "x.start", "x.unit", "x.copies")
 
 
-@register("simulated_genotypes")
+@register("simulated_genotypes", f"SELECT p_partkey, CAST(({sql_draw(1, 'p_partkey')} / pow(2, 48) < (p_size % 50) / 100.0::DOUBLE)::INT + ({sql_draw(2, 'p_partkey')} / pow(2, 48) < (p_size % 50) / 100.0::DOUBLE)::INT AS INTEGER) AS genotype FROM part")
 def simulated_genotypes(spark, d):
     """Two seeded uniform draws against a frequency, by a hash of the key, so a rerun task draws the same."""
-    u = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "p_partkey"), F.lit(1 << 30)) / float(1 << 30)
+    u = lambda seed: text.draw(seed, "p_partkey") / float(1 << 48)
     maf = (F.col("p_size") % 50) / 100
     return t(spark, d, "part").select("p_partkey", ((u(1) < maf).cast("int") + (u(2) < maf).cast("int")).alias("genotype"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.catalog import register
 from helixframe.operators import stats
-from helixframe.plans.common import r, t
+from helixframe.plans.common import r, sql_draw, t
 
 GENO = "SELECT l_suppkey AS k, count(*) FILTER (l_returnflag = 'A') AS aa, count(*) FILTER (l_returnflag = 'N') AS ab, count(*) FILTER (l_returnflag = 'R') AS bb FROM lineitem GROUP BY 1"
 
@@ -78,7 +78,10 @@ def ratio_jackknife(spark, d):
     return x.select(r(F.col("theta"), 8).alias("theta"), "blocks", r(F.col("jackknife"), 8).alias("jackknife"), r(F.col("variance"), 12).alias("variance"))
 
 
-@register("bootstrap_ratio")
+@register("bootstrap_ratio", f"""
+WITH RECURSIVE p AS (SELECT 0 AS k, exp(-1.0) AS p UNION ALL SELECT k + 1, p / (k + 1) FROM p WHERE k < 7), c AS (SELECT k + 1 AS k, sum(p) OVER (ORDER BY k) AS upto FROM p),
+g AS (SELECT l_suppkey, sum(l_quantity) AS x, sum(l_quantity * l_discount) AS y FROM lineitem GROUP BY 1), b AS (SELECT l_suppkey, x, y, CAST(i AS INTEGER) AS round, {sql_draw(1, 'l_suppkey', 'i')} / pow(2, 48) AS u FROM g, generate_series(1, 50) r(i)),
+w AS (SELECT round, x, y, (SELECT count(*) FROM c WHERE u >= upto) AS w FROM b) SELECT round, round(sum(w * y) / sum(w * x), 6) AS theta FROM w GROUP BY 1""")
 def bootstrap_ratio(spark, d):
     li = t(spark, d, "lineitem").withColumn("y", F.col("l_quantity") * F.col("l_discount"))
     return stats.bootstrap(li, "l_suppkey", "l_quantity", "y", 50).withColumn("theta", r(F.col("theta")))

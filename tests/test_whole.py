@@ -84,3 +84,63 @@ def test_far_cells_of_a_sparse_grid_are_filled(spark):
         assert got[x, y] == (sum(near) / len(near), radius)
     alone = spark.createDataFrame([(0, 0, 4.0), (1, 0, 0.0)], "x long, y long, v double")
     assert {r["v"] for r in windows.neighbourhood_fill(alone, "x", "y", "v").collect()} == {4.0, None}
+
+
+def test_hidden_states_equal_every_path(spark):
+    import itertools
+    import math
+
+    rnd = random.Random(4)
+    start, move = [0.6, 0.4], [[0.9, 0.1], [0.2, 0.8]]
+    emit = [{"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 0.1, "b": 0.3, "c": 0.6}]
+    series = {k: [rnd.choice("abc") for _ in range(k)] for k in range(1, 8)}
+    df = spark.createDataFrame([(k, i, s) for k, v in series.items() for i, s in enumerate(v)], "k long, i long, s string")
+    got = {(r["k"], r["i"]): (r["state"], r["posterior"]) for r in windows.hmm(df, ["k"], "i", "s", start, move, emit).collect()}
+    for k, symbols in series.items():
+        chance = {}
+        for path in itertools.product(range(2), repeat=k):
+            chance[path] = start[path[0]] * math.prod(move[a][b] for a, b in itertools.pairwise(path)) * math.prod(emit[s][x] for s, x in zip(path, symbols, strict=True))
+        best = max(chance, key=chance.get)
+        for i in range(k):
+            share = sum(v for p, v in chance.items() if p[i] == best[i]) / sum(chance.values())
+            assert got[k, i][0] == best[i] and abs(got[k, i][1] - share) < 1e-9
+
+
+def test_p_values_of_t_equal_the_integral(spark, sf_dir):
+    import math
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    cases = [(0.0, 5.0), (0.5, 1.5), (-1.3, 7.25), (2.1, 30.0), (-3.4, 12.0), (4.0, 200.0)]
+    df = spark.createDataFrame(cases, "t double, df double")
+    for row in df.select("t", "df", stats.t_p_value(F.col("t"), F.col("df")).alias("p")).collect():
+        v = row["df"]
+        x = np.linspace(0, abs(row["t"]), 200_001)
+        y = (1 + x * x / v) ** (-(v + 1) / 2)
+        inside = np.sum((y[1:] + y[:-1]) / 2 * np.diff(x)) * math.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(v * math.pi)
+        assert abs(row["p"] - (1 - 2 * inside)) < 1e-6
+    assert all(0 <= r["p"] <= 1 for r in catalog.queries()["t_p_values"](spark, sf_dir).collect() if r["p"] is not None)
+
+
+def test_sketched_counts_are_never_too_low_and_seldom_high(spark, sf_dir):
+    exact = {r["l_partkey"]: r["count"] for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_partkey").count().collect()}
+    got = {r["l_partkey"]: r["n"] for r in catalog.queries()["count_min_sketch"](spark, sf_dir).collect()}
+    assert got.keys() == exact.keys()
+    over = [got[k] - n for k, n in exact.items()]
+    assert min(over) >= 0 and sum(o > 2.72 * sum(exact.values()) / 4096 for o in over) <= 0.02 * len(over)
+
+
+def test_hashes_of_the_query_equal_the_function(spark, sf_dir):
+    from helixframe.functions.registry import murmur3_128
+
+    names = {r["p_partkey"]: r["p_name"] for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()}
+    assert {r["p_partkey"]: r["h"] for r in catalog.queries()["murmur_hash"](spark, sf_dir).collect()} == {k: murmur3_128(v.encode()) for k, v in names.items()}
+
+
+def test_draws_are_uniform_and_differ_by_seed(spark):
+    from helixframe.functions.text import draw
+
+    rows = spark.range(4000).select(draw(1, "id").alias("a"), draw(2, "id").alias("b")).collect()
+    a, b = [r["a"] / 2**48 for r in rows], [r["b"] / 2**48 for r in rows]
+    assert 0 <= min(a) and max(a) < 1 and abs(sum(a) / 4000 - 0.5) < 0.02 and abs(sum(x * y for x, y in zip(a, b, strict=True)) / 4000 - 0.25) < 0.02
