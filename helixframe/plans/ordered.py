@@ -197,13 +197,13 @@ def overlap_padded(spark, d):
 
 
 def flags_2d(lines):
-    """Bit 1 for a neighbour in the first dimension, bit 2 in the second: two one-dimensional semi-joins, never all pairs."""
-    g = lines.select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("c"), F.round("l_quantity").cast("long").alias("h"), F.round(F.col("l_extendedprice") / 1000).cast("long").alias("v"))
+    """Bit 1 for a neighbour in the first dimension, bit 2 in the second: two one-dimensional semi-joins, never all pairs. A half is rounded to the even neighbour, as SQL's cast does."""
+    near = lambda x: F.rint(x).cast("long")
+    g = lines.select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("c"), near(F.col("l_quantity")).alias("h"), near(F.col("l_extendedprice") / 1000).alias("v"))
     f = g.filter("o % 5 = 0").select("c", F.col("h").alias("fh"), F.col("v").alias("fv"))
-    base = g.join(f.select("c").distinct(), "c", "left_semi").select("o", "c").distinct()
-    hit = lambda a, b, bit: intervals.range_join(g, f.select("c", b).distinct(), ["c"], (a, a), (b, b), 3, "left_semi", 1).select("o", "c", F.lit(bit).alias(f"b{bit}")).distinct()
-    j = base.join(hit("h", "fh", 1), ["o", "c"], "left").join(hit("v", "fv", 2), ["o", "c"], "left")
-    return j.select("o", "c", (F.coalesce("b1", F.lit(0)) + F.coalesce("b2", F.lit(0))).alias("flag"))
+    base = g.join(f.select("c").distinct(), "c", "left_semi").select("o", "c", F.lit(0).alias("bit"))
+    hit = lambda a, b, bit: intervals.range_join(g, f.select("c", b).distinct(), ["c"], (a, a), (b, b), 3, "left_semi", 1).select("o", "c", F.lit(bit).alias("bit"))
+    return base.unionByName(hit("h", "fh", 1)).unionByName(hit("v", "fv", 2)).groupBy("o", "c").agg(F.bit_or("bit").alias("flag"))
 
 
 @register("overlap_2d_flags", """

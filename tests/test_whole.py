@@ -42,6 +42,19 @@ def test_flags_of_every_supplier(spark, tmp_path):
     assert got == {k: a + 2 * b for k, (a, b) in want.items()}
 
 
+def test_flags_round_halves_to_even_and_keep_null_orders(spark, tmp_path):
+    import duckdb
+
+    rows = [(5, 1, 1.0, 11000.0), (1, 1, 40.0, 12500.0), (2, 1, 2.5, 90000.0), (3, 1, 3.5, 13500.0), (None, 1, 1.0, 10500.0), (4, 2, 1.0, 11000.0), (10, 3, None, 11000.0), (11, 3, 1.0, 9500.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["overlap_2d_flags"]).fetchall()
+    assert set(want) == {(5, 1, 3), (1, 1, 2), (2, 1, 1), (3, 1, 0), (None, 1, 3), (10, 3, 2), (11, 3, 2)}
+    got = [tuple(r) for r in catalog.queries()["overlap_2d_flags"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_classes_of_near_copies_equal_brute_force(spark, tmp_path):
     rnd = random.Random(8)
     word = lambda: "".join(rnd.choice("abcdef") for _ in range(rnd.randrange(2, 30)))
