@@ -25,14 +25,15 @@ def natural_key(s, width: int = 20, fold: bool = False) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^[1-9]\d*$"), F.concat(F.lit("1"), F.lpad(r, width, "0"))).when(r.rlike(r"^0"), F.concat(F.lit("0"), r)).otherwise(r)), "")
 
 
-def bytes2human(n, symbols: str = "customary", decimals: int = 1) -> Column:
-    """9856 is 9.6 K; powers of 1,024."""
+def bytes2human(n, symbols: str = "customary", decimals: int = 1, largest: int = 6) -> Column:
+    """9856 is 9.6 K; powers of 1,024, up to ``1024 ** largest``. Halves are rounded up; null stays null."""
     names = UNITS[symbols]
-    value = n.cast("double")
+    value, shift = n.cast("double"), 10.0**decimals
+    shown = lambda x, name: F.format_string(f"%.{decimals}f {name}", F.floor(x * shift + 0.5) / shift)
     out = F.format_string(f"%.{decimals}f {names[0]}", value)
-    for i, name in enumerate(names[1:7], 1):
-        out = F.when(value >= 1024.0**i, F.format_string(f"%.{decimals}f {name}", value / 1024.0**i)).otherwise(out)
-    return out
+    for i, name in enumerate(names[1 : largest + 1], 1):
+        out = F.when(value >= 1024.0**i, shown(value / 1024.0**i, name)).otherwise(out)
+    return F.when(value.isNotNull(), out)
 
 
 def human2bytes(s) -> Column:

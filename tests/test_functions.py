@@ -166,3 +166,20 @@ def test_local_alignment_equals_cell_by_cell():
     rnd = random.Random(3)
     xs, ys = (["".join(rnd.choice("ACGT") for _ in range(rnd.randrange(0, n))) for _ in range(150)] for n in (60, 25))
     assert list(_align(xs, ys)) == [plain(x, y) for x, y in zip(xs, ys, strict=True)]
+
+
+def test_sizes_stop_at_the_largest_unit_and_keep_nulls(spark, tmp_path):
+    import duckdb
+
+    from helixframe import catalog
+
+    r = values(spark, t=X.bytes2human(L(1 << 43)), g=X.bytes2human(L(1 << 43), largest=3), none=X.bytes2human(F.lit(None).cast("long")))
+    assert (r["t"], r["g"], r["none"]) == ("8.0 T", "8192.0 G", None)
+    # from bytes to petabytes, both sides of 1 T, then a null
+    keys = [0, 1, 5, 6, 5000, 172384, 172385, 488671, 1199999, 400_000_000, None]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["bytes2human"]).fetchall()
+    got = [tuple(r) for r in catalog.queries()["bytes2human"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
