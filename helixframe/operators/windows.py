@@ -190,33 +190,64 @@ def neighbourhood_fill(df: DataFrame, x: str, y: str, value: str, least: int = 2
 def fewest_switches(df: DataFrame, keys: list[str], order: str, options: str, schema: str | None = None) -> DataFrame:
     """For each ordered series of allowed states (an array a row), the path of fewest changes; ties go to the lesser state.
 
-    Sequential by nature: one series is one group, solved by dynamic programming.
+    Sequential by nature: a series is read in one task. A task passes over its sorted series in whole batches, forward and back,
+    in time that follows the states given. No state costs over one change more than the cheapest, so the set of cheapest states
+    is all that a row needs: those of the row before that are still allowed, or all allowed ones where none is.
     """
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        costs: list[dict] = []
-        for allowed in pdf[options]:
-            allowed = sorted(set(allowed))
-            last = costs[-1] if costs else None
-            row = {}
-            for s in allowed:
-                if last is None:
-                    row[s] = (0, None)
-                else:
-                    cost, came = min((c + (p != s), p) for p, (c, _) in last.items())
-                    row[s] = (cost, came)
-            costs.append(row)
-        path = []
-        state = min(costs[-1], key=lambda s: (costs[-1][s][0], s))
-        for row in reversed(costs):
-            path.append(state)
-            state = row[state][1]
-        return pdf[[*keys, order]].assign(state=path[::-1])
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    state = kinds[options].removeprefix("array<").removesuffix(">")
-    return df.groupBy(*keys).applyInPandas(solve, schema or ", ".join(f"{c} {kinds[c]}" for c in [*keys, order]) + f", state {state}")
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.types import StructField, StructType
+
+    n = len(keys)
+
+    def paths(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of whole series with their states."""
+        lists = pa.concat_arrays([x.column(n + 1) for x in parts])
+        starts = np.concatenate([x.column(n + 2).to_numpy(zero_copy_only=False) for x in parts]).tolist()
+        values, ends = lists.flatten().to_pylist(), np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+        sets: dict[tuple, frozenset] = {}
+        shared: dict[frozenset, frozenset] = {}
+        allowed, cheapest, at, now = [], [], 0, frozenset()
+        for end, start in zip(ends, starts, strict=True):
+            own = tuple(values[at:end])
+            a = sets.get(own)
+            if a is None:
+                a = sets[own] = shared.setdefault(frozenset(own), frozenset(own))
+            now = a if start else (now & a or a)
+            now = shared.setdefault(now, now)
+            allowed.append(a)
+            cheapest.append(now)
+            at = end
+        states, last = [None] * len(starts), True
+        for i in range(len(starts) - 1, -1, -1):
+            if last:
+                state = min(cheapest[i])
+            elif state not in cheapest[i]:
+                least = min(cheapest[i])
+                state = state if state in allowed[i] and state < least else least
+            states[i], last = state, starts[i]
+        at = 0
+        for x in parts:
+            yield pa.RecordBatch.from_arrays([*x.columns[: n + 1], pa.array(states[at : at + x.num_rows], lists.type.value_type)], names=[*keys, order, "state"])
+            at += x.num_rows
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(n + 2).to_numpy(zero_copy_only=False))
+            if len(starts):
+                held.append(batch.slice(0, int(starts[-1])))
+                yield from paths(held)
+                held, batch = [], batch.slice(int(starts[-1]))
+            held.append(batch)
+        if held:
+            yield from paths(held)
+
+    series = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last())
+    marked = df.select(*keys, order, options, (F.row_number().over(series) == 1).alias("__start"))
+    kept_types = [StructField(c, df.schema[c].dataType) for c in [*keys, order]]
+    out = marked.mapInArrow(solve, StructType([*kept_types, StructField("state", df.schema[options].dataType.elementType)]))
+    return out.select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(schema)]) if schema else out
 
 
 def hmm(df: DataFrame, keys: list[str], order: str, symbol: str, start: list[float], move: list[list[float]], emit: list[dict]) -> DataFrame:

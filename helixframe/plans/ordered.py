@@ -427,7 +427,8 @@ def ordered_lookup_asc_desc(spark, d):
 @register("fewest_switches")
 def fewest_switches(spark, d):
     """Path of fewest changes through each order's allowed states; brute force in tests."""
-    x = t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sort_array(F.collect_set("l_returnflag")).alias("options"))
+    lines = t(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag").repartition("l_orderkey")  # one shuffle serves the sets and the series
+    x = lines.groupBy("l_orderkey", "l_linenumber").agg(F.sort_array(F.collect_set("l_returnflag")).alias("options"))
     return windows.fewest_switches(x, ["l_orderkey"], "l_linenumber", "options")
 
 

@@ -186,6 +186,40 @@ def test_fewest_switches_equals_exhaustive_search(spark):
         assert changes(path) == min(map(changes, itertools.product(*s)))
 
 
+def test_fewest_switches_reads_many_series_a_batch(spark, sf_dir):
+    from helixframe import catalog
+
+    plan = catalog.queries()["fewest_switches"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize(("kind", "states"), [("string", "abcd"), ("int", range(12))])
+def test_fewest_switches_keeps_ties_of_the_dynamic_program(spark, kind, states):
+    rnd = random.Random(7)
+    series = {k: [rnd.sample(list(states), rnd.choice([1, 1, 2, 3])) for _ in range(rnd.choice([1, 2, 5, 40]))] for k in [None, *range(150)]}
+    series[150] = [rnd.sample(list(states), 2) for _ in range(25_000)]  # longer than two batches
+    df = spark.createDataFrame([(k, i, o) for k, s in series.items() for i, o in enumerate(s)], f"k int, i int, o array<{kind}>").repartition(5)
+    got = {}
+    for r in W.fewest_switches(df, ["k"], "i", "o").collect():
+        got.setdefault(r["k"], {})[r["i"]] = r["state"]
+    assert got.keys() == series.keys()
+    for k, s in series.items():
+        costs = [{x: (0, None) for x in s[0]}]
+        for allowed in s[1:]:
+            costs.append({x: min((c + (p != x), p) for p, (c, _) in costs[-1].items()) for x in allowed})
+        path = [min(costs[-1], key=lambda x: (costs[-1][x][0], x))]  # noqa: B023
+        for row in costs[:0:-1]:
+            path.append(row[path[-1]][1])
+        assert got[k] == dict(enumerate(path[::-1]))
+
+
+def test_fewest_switches_puts_null_positions_last(spark):
+    df = spark.createDataFrame([(1, ["a"]), (2, ["a", "b"]), (None, ["b"])], "i int, o array<string>")
+    got = {r["i"]: r["state"] for r in W.fewest_switches(df, [], "i", "o").collect()}
+    assert got == {1: "a", 2: "a", None: "b"}
+    assert W.fewest_switches(df.limit(0), [], "i", "o").collect() == []
+
+
 def test_hmm_equals_exhaustive_search(spark):
     start, move = [0.6, 0.4], [[0.7, 0.3], [0.2, 0.8]]
     emit = [{"x": 0.9, "y": 0.1}, {"x": 0.2, "y": 0.8}]
