@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURNS = "array<struct<role:string,text:string>>"
-#: Column of ``from_rows`` with the turns themselves, beside a record that has their layout only.
-GIVEN = "__given_turns"
+#: Column of ``from_rows`` with the texts of a conversation from ``LONG`` characters on, by item; its record has them empty. Null for all others.
+BESIDE = "__texts_beside"
 #: Records from this many characters on are fingerprinted without their texts: Spark's JSON parser refuses a string over 20,000,000 UTF-16 units, which are two a character at most, and a variant ends at 128 MiB.
 LONG = 10_000_000
 
@@ -52,10 +52,15 @@ MAPPINGS = (
 )
 
 
+#: A JSON string, in a form that Java matches without recursion.
+STRING = r'"(?:[^"\\]++|\\.)*+"'
+
+
 def skeleton(record: Column) -> Column:
-    """A JSON record with each string value emptied; names stay."""
-    string = r'"(?:[^"\\]++|\\.)*+"'
-    return F.regexp_replace(record, rf'(?s)((?:{string}\s*+:|[^"])*+){string}', '$1""')
+    """A JSON record with each string value emptied and runs of equal flat items made one; names stay."""
+    emptied = F.regexp_replace(record, rf'(?s)\G((?:{STRING}\s*+:|[^"])*+){STRING}', '$1""')
+    item = rf'\{{(?:{STRING}|[^"{{}}\[\]])*+\}}'
+    return F.regexp_replace(emptied, rf'(?s)({STRING})|({item})(?:\s*+,\s*+\2)++', '$1$2')
 
 
 def fingerprint(record: Column, long: int = LONG) -> Column:
@@ -76,15 +81,14 @@ def _known(df: DataFrame, mappings: Sequence[Mapping]) -> dict[str, str]:
 READ = {"maxStringLen": "2147483647"}
 
 
-def _turns(m: Mapping, record: Column, given: Column | None = None) -> Column:
+def _turns(m: Mapping, record: Column, beside: Column) -> Column:
     if m.list_path:
         item = f"array<struct<`{m.role}`:string,`{m.text}`:string>>"
-        own = given is not None and (m.list_path, m.role, m.text) == ("turns", "role", "text")
-        items = given if own else F.from_json(record, f"struct<`{m.list_path}`:{item}>", READ).getField(m.list_path)
+        items = F.from_json(record, f"struct<`{m.list_path}`:{item}>", READ).getField(m.list_path)
         role = lambda x: F.coalesce(x[m.role], F.lit(""))
         known = F.create_map(*[F.lit(v) for pair in m.aliases for v in pair]) if m.aliases else None
         named = (lambda x: F.coalesce(known[role(x)], role(x))) if known is not None else role
-        return F.transform(items, lambda x: F.struct(named(x).alias("role"), F.coalesce(x[m.text], F.lit("")).alias("text")))
+        return F.transform(items, lambda x, i: F.struct(named(x).alias("role"), F.coalesce(F.get(beside, i), x[m.text], F.lit("")).alias("text")))
     values = F.from_json(record, "struct<" + ",".join(f"`{p}`:string" for _, p in m.fields) + ">", READ)
     given = F.array(*[F.struct(F.lit(r).alias("role"), values.getField(p).alias("text")) for r, p in m.fields])
     return F.filter(given, lambda x: x["text"].isNotNull() & (x["text"] != ""))
@@ -94,12 +98,12 @@ def canonical(df: DataFrame, record: str = "record", mappings: Sequence[Mapping]
     """``df`` with ``fingerprint``, ``layout`` and ``turns``; both last are null where no mapping has the fingerprint or the record is not JSON."""
     known = _known(df, mappings)
     marked = df.withColumn("fingerprint", fingerprint(F.col(record)))
-    given = F.col(GIVEN) if GIVEN in df.columns else None
+    beside = F.col(BESIDE) if BESIDE in df.columns else F.lit(None).cast("array<string>")
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for m in mappings:
         own = F.col("fingerprint").isin([f for f, name in known.items() if name == m.name])
         layout = F.when(own, F.lit(m.name)).otherwise(layout)
-        turns = F.when(own, _turns(m, F.col(record), given)).otherwise(turns)
+        turns = F.when(own, _turns(m, F.col(record), beside)).otherwise(turns)
     return marked.withColumn("layout", layout).withColumn("turns", turns.cast(TURNS))
 
 
@@ -176,15 +180,17 @@ def loss_text(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
 
 
-def from_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Rows by turn as one record a conversation: the JSON layout {"turns": [{"role", "text"}, ...]} with empty texts, and the turns beside it as an array, so that no text's size decides whether the layout is found.
+def from_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", long: int = LONG) -> DataFrame:
+    """Rows by turn as one JSON record a conversation: {"turns": [{"role", "text"}, ...]}. From ``long`` characters on the texts stand beside the record, which has every item with its role and an empty text, so that no buffer holds them again as JSON.
 
     Order is by turn, then role, then text, null turns first; null roles and texts are empty. A repeated row is a repeated turn.
     """
     item = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    grouped = rows.groupBy(F.col(conv).alias("conv_id")).agg(F.sort_array(F.collect_list(item)).alias("turns"))
-    layout = F.lit('{"turns":[{"role":"","text":""}]}')  # the fields of every item are the same
-    return grouped.select("conv_id", layout.alias("record"), F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias(GIVEN))
+    grouped = rows.groupBy(F.col(conv).alias("conv_id")).agg(F.sort_array(F.collect_list(item)).alias("turns"), F.sum(F.length(item["text"])).alias("chars"))
+    apart = F.col("chars") >= long
+    items = F.transform("turns", lambda t: F.to_json(F.struct(t["role"].alias("role"), F.when(apart, F.lit("")).otherwise(t["text"]).alias("text"))))
+    record = F.concat(F.lit('{"turns":['), F.array_join(items, ","), F.lit("]}"))
+    return grouped.select("conv_id", record.alias("record"), F.when(apart, F.transform("turns", lambda t: t["text"])).alias(BESIDE))
 
 
 def format_records(records: DataFrame, mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:

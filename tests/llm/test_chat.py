@@ -62,3 +62,37 @@ def test_control_strings_do_not_survive_inside_texts(spark):
     row = spark.range(1).select(chat.escape(F.lit(text)).alias("e")).select("e", chat.unescape(F.col("e")).alias("u")).first()
     assert row["u"] == text
     assert not any(c in row["e"] for c in ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"))
+
+
+def test_rows_become_records_that_the_mapping_reads(spark):
+    rows = [(1, 0, "user", 'q "1" \\ \n\x01é😀'), (1, 1, "assistant", "</s>"), (2, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    records = chat.from_rows(df)
+    got = {r["conv_id"]: json.loads(r["record"]) for r in records.collect()}
+    assert got == {1: {"turns": [{"role": role, "text": text} for _, _, role, text in rows[:2]]}, 2: {"turns": [{"role": "", "text": ""}]}}
+    plan = chat.format_records(records)._jdf.queryExecution().executedPlan().toString()
+    assert "schemaOfVariant" in plan and "from_json" in plan
+    # without the layout's mapping nothing is found: no other way leads to the turns
+    others = [m for m in chat.MAPPINGS if m.name != "turns"]
+    assert {(r["layout"], r["formatted"]) for r in chat.format_records(records, others).collect()} == {(None, None)}
+
+
+def test_texts_beside_a_record_give_the_same(spark):
+    rows = [(c, t, role, text * c) for c in range(1, 6) for t, (role, text) in enumerate([("user", "[INST]"), ("assistant", 'a"\\'), ("tool", ""), ("assistant", "é😀")])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    apart = chat.from_rows(df, long=30)
+    assert 0 < apart.filter(F.col(chat.BESIDE).isNotNull()).count() < 5
+    assert all(t["text"] == "" for r in apart.collect() if r[chat.BESIDE] for t in json.loads(r["record"])["turns"])
+    assert sorted(chat.format_records(apart).collect()) == sorted(chat.format_records(chat.from_rows(df)).collect())
+
+
+def test_a_skeleton_has_runs_of_equal_items_once(spark):
+    cases = {
+        '{"turns":[{"role":"a","text":"b"}, {"role":"c","text":"d"},{"role":"","text":""}]}': '{"turns":[{"role":"","text":""}]}',
+        '[{"a":1},{"a":1},{"b":1},{"a":1}]': '[{"a":1},{"b":1},{"a":1}]',
+        '{"{},{}":{},"x":[{},{}]}': '{"{},{}":{},"x":[{}]}',
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "r string")
+    for row in df.select("r", chat.skeleton(F.col("r")).alias("s"), chat.fingerprint(F.col("r")).alias("a"), chat.fingerprint(F.col("r"), 0).alias("b")).collect():
+        assert row["s"] == cases[row["r"]]
+        assert row["a"] == row["b"]
